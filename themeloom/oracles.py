@@ -63,7 +63,7 @@ _BLANK = r"[ \t\n\x0B\f\r]"
 def _clean(column: str, rules: tuple[C.Rule, ...], lower: bool) -> str:
     sql = f"regexp_replace(coalesce({column}, ''), '{_OTHER_LETTER}', '{_MARK}\\1{_MARK}', 'g')"
     for rule in rules:
-        pattern = rule.pattern.replace(r"\s", _BLANK).replace(r" ", r"\x{00A0}")
+        pattern = rule.pattern.replace(r"\s", _BLANK).replace(r"\u00A0", r"\x{00A0}")
         replacement = rule.replacement.replace("$1", "\\1").replace("$2", "\\2")
         sql = f"regexp_replace({sql}, '{pattern}', '{replacement}', 'g')"
     if lower:
@@ -73,7 +73,7 @@ def _clean(column: str, rules: tuple[C.Rule, ...], lower: bool) -> str:
 
 def _tokens(column: str, words: list[str] | None = None) -> str:
     tokens = f"regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}_]+')"
-    return tokens if words is None else f"list_filter({tokens}, t -> t NOT IN ({_quoted(words)}))"
+    return tokens if words is None else f"list_filter({tokens}, lambda t: t NOT IN ({_quoted(words)}))"
 
 
 # Sources, projections and filters
@@ -148,8 +148,8 @@ SELECT count(*) AS n_rows, count(DISTINCT topic) FILTER (topic <> -1) AS n_topic
          AS first_topics FROM given"""
 ORACLES["embedding_health"] = """
 SELECT count(*) AS n_rows, CAST(min(len(embedding)) AS INTEGER) AS min_dim, CAST(max(len(embedding)) AS INTEGER) AS max_dim,
-       bool_or(len(list_filter(embedding, x -> isnan(x))) > 0) AS any_nan,
-       bool_or(len(list_filter(embedding, x -> isinf(x))) > 0) AS any_inf,
+       bool_or(len(list_filter(embedding, lambda x: isnan(x))) > 0) AS any_nan,
+       bool_or(len(list_filter(embedding, lambda x: isinf(x))) > 0) AS any_inf,
        round(min(CAST(list_min(embedding) AS DOUBLE)), 6) AS min_value,
        round(max(CAST(list_max(embedding) AS DOUBLE)), 6) AS max_value,
        count(DISTINCT embedding) = 1 AS all_identical FROM embeddings"""
@@ -280,7 +280,7 @@ def _lemma(word: str) -> str:
 
 ORACLES["lemmatize"] = f"""
 SELECT doc_id AS sample_id, array_to_string(list_transform(
-  regexp_extract_all(lower(text), '[^ \\t\\n\\x0B\\f\\r]+'), w -> {_lemma('w')}), ' ') AS text_lemma FROM documents"""
+  regexp_extract_all(lower(text), '[^ \\t\\n\\x0B\\f\\r]+'), lambda w: {_lemma('w')}), ' ') AS text_lemma FROM documents"""
 ORACLES["stopword_union"] = f"""
 WITH words AS (SELECT unnest([{_quoted(ENGLISH)}]) AS word UNION SELECT unnest([{_quoted(K.EXTRA_STOP_WORDS)}])),
 used AS (SELECT word, count(*) AS n FROM (SELECT unnest({_tokens('text')}) AS word FROM documents) GROUP BY word)
@@ -289,7 +289,7 @@ SELECT word, coalesce(n, 0) AS n FROM words LEFT JOIN used USING (word)"""
 
 def _terms(o: VocabularyOptions, relation: str, columns: str, text: str) -> list[str]:
     """CTE ``terms``: one row per term occurrence with the given columns."""
-    grams = "t" if o.ngram_max == 1 else "t || list_transform(range(1, greatest(len(t), 1)), i -> t[i] || ' ' || t[i + 1])"
+    grams = "t" if o.ngram_max == 1 else "t || list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])"
     return [
         f"toks AS (SELECT {columns}, {_tokens(text, STOP)} AS t FROM {relation})",
         f"grams AS (SELECT {columns}, {grams} AS g FROM toks)",
@@ -354,7 +354,7 @@ ORACLES["random_projection"] = _projection()
 
 
 def _near(k: int, unit: bool) -> list[str]:
-    vector = "list_transform(v, x -> x / sqrt(list_dot_product(v, v)))" if unit else "v"
+    vector = "list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))" if unit else "v"
     return [
         GIVEN,
         f"vecs AS (SELECT vec_id AS id, {vector} AS v FROM given)",
@@ -374,7 +374,7 @@ ORACLES["fuzzy_graph"] = _with(
     f"""bisect AS (SELECT src, ds, rho, 0 AS step, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi FROM local
        UNION ALL SELECT src, ds, rho, step + 1, CASE WHEN s > ln({Q.FUZZY_NEIGHBOURS}) / ln(2) THEN lo ELSE (lo + hi) / 2 END,
          CASE WHEN s > ln({Q.FUZZY_NEIGHBOURS}) / ln(2) THEN (lo + hi) / 2 ELSE hi END
-       FROM (SELECT *, list_sum(list_transform(ds, d -> CASE WHEN d - rho <= 0 THEN 1.0::DOUBLE
+       FROM (SELECT *, list_sum(list_transform(ds, lambda d: CASE WHEN d - rho <= 0 THEN 1.0::DOUBLE
                ELSE exp(-(d - rho) / ((lo + hi) / 2)) END)) AS s FROM bisect WHERE step < 64))""",
     "scaled AS (SELECT src, rho, greatest(hi, 1e-9) AS sigma FROM bisect WHERE step = 64)",
     """directed AS (SELECT src, dst, CASE WHEN dist - rho <= 0 THEN 1.0 ELSE exp(-(dist - rho) / sigma) END AS w
@@ -417,10 +417,10 @@ ORACLES["mst_edges"] = _with(
        SELECT s AS node, (SELECT edges FROM adjacent WHERE src = s) AS best,
               NULL::STRUCT(w DOUBLE, lo BIGINT, hi BIGINT, node BIGINT) AS pick FROM start
        UNION ALL
-       SELECT pick.node, list_transform(list_filter(best, b -> b.node <> pick.node),
-                b -> CASE WHEN e[b.node] < b THEN e[b.node] ELSE b END), pick
+       SELECT pick.node, list_transform(list_filter(best, lambda b: b.node <> pick.node),
+                lambda b: CASE WHEN e[b.node] < b THEN e[b.node] ELSE b END), pick
        FROM (SELECT p.best, list_min(p.best) AS pick FROM prim p WHERE len(p.best) > 0)
-       JOIN (SELECT src, map_from_entries(list_transform(edges, x -> {'k': x.node, 'v': x})) AS e FROM adjacent)
+       JOIN (SELECT src, map_from_entries(list_transform(edges, lambda x: {'k': x.node, 'v': x})) AS e FROM adjacent)
          ON src = pick.node)""",
     recursive=True,
 ) + "SELECT pick.lo AS src, pick.hi AS dst, round(pick.w, 6) AS w FROM prim WHERE pick IS NOT NULL"
