@@ -33,10 +33,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and go on from the copy.
+    """Write ``df`` to the shared folder as Parquet and go on from the copy.
 
     The copy outlives lost executors, is read any number of times without
-    recomputing its input, and gives iterative jobs a plan of constant size.
+    recomputing its input, and gives iterative jobs a plan of constant size. Its
+    size is known to the optimizer; a checkpointed plan would carry the
+    estimates of its input, which joins multiply in every round.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
