@@ -24,6 +24,8 @@ from themeloom.operators import (
 )
 from themeloom.options import ClusterOptions, SampleOptions, TopicOptions, VocabularyOptions
 from themeloom.plans.lineage import cut, scratch_path
+from themeloom.plans.spread import spread
+from themeloom.plans.unnest import computed_once
 from themeloom.sources import delimited, guards
 from themeloom.sources.tables import (
     TEXT,
@@ -72,6 +74,16 @@ def _narratives(spark: SparkSession, sf: str) -> DataFrame:
     return complaints(spark, sf).where(F.col(TEXT).isNotNull() & (F.length(TEXT) > 50))
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Complaints for costly text expressions."""
+    return spread(complaints(spark, sf))
+
+
+def _topic_texts(spark: SparkSession, sf: str) -> DataFrame:
+    topics_given = given_topics(spark, sf).withColumnRenamed("vec_id", "sample_id")
+    return _texts(spark, sf).join(topics_given, "sample_id")
+
+
 # Sources and sinks
 
 
@@ -186,17 +198,17 @@ def format_date(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("clean_v2")
 def clean_v2(spark: SparkSession, sf: str) -> DataFrame:
-    return complaints(spark, sf).select("sample_id", C.clean_v2(TEXT).alias("text_clean"))
+    return _texts(spark, sf).select("sample_id", C.clean_v2(TEXT).alias("text_clean"))
 
 
 @query("clean_v1")
 def clean_v1(spark: SparkSession, sf: str) -> DataFrame:
-    return complaints(spark, sf).select("sample_id", C.clean_v1(TEXT).alias("text_clean"))
+    return _texts(spark, sf).select("sample_id", C.clean_v1(TEXT).alias("text_clean"))
 
 
 @query("clean_conversations")
 def clean_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "conversations").select(
+    return spread(read_table(spark, sf, "conversations")).select(
         "conv_id", "turn", C.clean_v2("text").alias("text_clean")
     )
 
@@ -250,9 +262,8 @@ def filter_min_length(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("filter_non_blank")
 def filter_non_blank(spark: SparkSession, sf: str) -> DataFrame:
-    cleaned = read_table(spark, sf, "conversations").select(
-        "conv_id", "turn", C.clean_v2("text").alias("text_clean")
-    )
+    turns = spread(read_table(spark, sf, "conversations"))
+    cleaned = computed_once(turns, C.clean_v2("text"), "text_clean")
     return cleaned.where(F.trim("text_clean") != "").select("conv_id", "turn")
 
 
@@ -458,19 +469,19 @@ def union_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tokenize")
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = complaints(spark, sf).select("sample_id", K.tokenize(TEXT).alias("t"))
+    tokens = _texts(spark, sf).select("sample_id", K.tokenize(TEXT).alias("t"))
     return tokens.select("sample_id", F.size("t").alias("n_tokens"), F.concat_ws(" ", "t").alias("tokens"))
 
 
 @query("lemmatize")
 def lemmatize(spark: SparkSession, sf: str) -> DataFrame:
-    return complaints(spark, sf).select("sample_id", K.lemmatize(TEXT).alias("text_lemma"))
+    return _texts(spark, sf).select("sample_id", K.lemmatize(TEXT).alias("text_lemma"))
 
 
 @query("remove_stopwords")
 def remove_stopwords(spark: SparkSession, sf: str) -> DataFrame:
     tokens = vocabulary.document_tokens(
-        complaints(spark, sf).select("sample_id", TEXT), TEXT, UNIGRAMS, "t"
+        _texts(spark, sf).select("sample_id", TEXT), TEXT, UNIGRAMS, "t"
     )
     return tokens.select("sample_id", F.size("t").alias("n_tokens"), F.concat_ws(" ", "t").alias("tokens"))
 
@@ -478,21 +489,21 @@ def remove_stopwords(spark: SparkSession, sf: str) -> DataFrame:
 @query("stopword_union")
 def stopword_union(spark: SparkSession, sf: str) -> DataFrame:
     return vocabulary.stop_word_usage(
-        complaints(spark, sf), TEXT, K.english_stop_words(), list(K.EXTRA_STOP_WORDS)
+        _texts(spark, sf), TEXT, K.english_stop_words(), list(K.EXTRA_STOP_WORDS)
     )
 
 
 @query("ngrams")
 def ngrams(spark: SparkSession, sf: str) -> DataFrame:
     terms = vocabulary.document_terms(
-        complaints(spark, sf).select("sample_id", TEXT), TEXT, BIGRAMS, "t"
+        _texts(spark, sf).select("sample_id", TEXT), TEXT, BIGRAMS, "t"
     )
     return terms.select("sample_id", F.size("t").alias("n_terms"), F.concat_ws("|", "t").alias("terms"))
 
 
 @query("df_filter")
 def df_filter(spark: SparkSession, sf: str) -> DataFrame:
-    docs = complaints(spark, sf)
+    docs = _texts(spark, sf)
     return vocabulary.prune_terms(
         vocabulary.term_frequencies(docs, TEXT, BIGRAMS), docs.count(), BIGRAMS
     ).select("term", "df")
@@ -500,12 +511,12 @@ def df_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("vocabulary")
 def vocabulary_table(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.vocabulary(complaints(spark, sf), TEXT, BIGRAMS)
+    return vocabulary.vocabulary(_texts(spark, sf), TEXT, BIGRAMS)
 
 
 @query("term_counts")
 def term_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return vocabulary.document_term_matrix(complaints(spark, sf), "sample_id", TEXT, BIGRAMS).select(
+    return vocabulary.document_term_matrix(_texts(spark, sf), "sample_id", TEXT, BIGRAMS).select(
         "sample_id", "term", "tf"
     )
 
@@ -520,14 +531,14 @@ def _long(df: DataFrame, key: str, vector: str) -> DataFrame:
 @query("hash_embed")
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
     return _long(
-        embeddings.hash_embed(complaints(spark, sf), "sample_id", TEXT, DIMENSIONS), "sample_id", "embedding"
+        embeddings.hash_embed(_texts(spark, sf), "sample_id", TEXT, DIMENSIONS), "sample_id", "embedding"
     )
 
 
 @query("chunk_mean_embed")
 def chunk_mean_embed(spark: SparkSession, sf: str) -> DataFrame:
     return _long(
-        embeddings.chunk_mean_embed(complaints(spark, sf), "sample_id", TEXT, CHUNK_TOKENS, DIMENSIONS),
+        embeddings.chunk_mean_embed(_texts(spark, sf), "sample_id", TEXT, CHUNK_TOKENS, DIMENSIONS),
         "sample_id",
         "embedding",
     )
@@ -621,7 +632,7 @@ def topic_probability(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topic_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(topics.topic_term_counts(topic_documents(spark, sf), TEXT, UNIGRAMS))
+    return cut(topics.topic_term_counts(_topic_texts(spark, sf), TEXT, UNIGRAMS))
 
 
 @query("relabel_by_size")
@@ -680,27 +691,27 @@ def topic_map_data(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("topics_over_time")
 def topics_over_time(spark: SparkSession, sf: str) -> DataFrame:
-    out = topics.topics_over_time(topic_documents(spark, sf), TEXT, "date_received", UNIGRAMS, 20, 5)
+    out = topics.topics_over_time(_topic_texts(spark, sf), TEXT, "date_received", UNIGRAMS, 20, 5)
     return out.select("topic", "bin", "bin_start", "frequency", F.concat_ws(", ", "words").alias("words"))
 
 
 @query("reduce_outliers_ctfidf")
 def reduce_outliers_ctfidf(spark: SparkSession, sf: str) -> DataFrame:
     return outliers.reduce_outliers_ctfidf(
-        topic_documents(spark, sf), "sample_id", TEXT, _topic_terms(spark, sf), UNIGRAMS
+        _topic_texts(spark, sf), "sample_id", TEXT, _topic_terms(spark, sf), UNIGRAMS
     )
 
 
 @query("reduce_outliers_distributions")
 def reduce_outliers_distributions(spark: SparkSession, sf: str) -> DataFrame:
     return outliers.reduce_outliers_distributions(
-        topic_documents(spark, sf), "sample_id", TEXT, _topic_terms(spark, sf), UNIGRAMS, threshold=0.12
+        _topic_texts(spark, sf), "sample_id", TEXT, _topic_terms(spark, sf), UNIGRAMS, threshold=0.12
     )
 
 
 @query("update_topics")
 def update_topics(spark: SparkSession, sf: str) -> DataFrame:
-    docs = topic_documents(spark, sf)
+    docs = _topic_texts(spark, sf)
     terms = _topic_terms(spark, sf)
     moved = cut(outliers.reduce_outliers_ctfidf(docs, "sample_id", TEXT, terms, UNIGRAMS))
     weights = topics.update_topics(docs, moved, "sample_id", TEXT, UNIGRAMS)
@@ -717,7 +728,7 @@ FIT = TopicOptions(
 
 @query("fit_topics")
 def fit_topics(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _narratives(spark, sf).select("sample_id", C.clean_v2(TEXT).alias("text"))
+    docs = computed_once(spread(_narratives(spark, sf)), C.clean_v2(TEXT), "text")
     return model.fit_topics(docs.where(F.trim("text") != ""), "sample_id", "text", FIT).info
 
 
@@ -732,9 +743,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     rows = topic_documents(spark, sf).where(F.length(TEXT) > 50)
     sample = sampling.stratified_sample(rows, "product", "issue", "sample_id", DOCUMENT_SAMPLE)
     cleaned = cut(
-        sample.select("sample_id", "topic", C.clean_v2(TEXT).alias("text_clean")).where(
-            F.trim("text_clean") != ""
-        )
+        computed_once(sample, C.clean_v2(TEXT), "text_clean")
+        .where(F.trim("text_clean") != "")
+        .select("sample_id", "topic", "text_clean")
     )
     counts = cut(topics.topic_term_counts(cleaned, "text_clean", UNIGRAMS))
     return topics.topic_info(cleaned, topics.c_tf_idf(counts), 10)

@@ -15,6 +15,7 @@ from themeloom.operators.vocabulary import document_terms, topic_vocabulary, voc
 from themeloom.options import VocabularyOptions
 from themeloom.plans.joins import lookup_join
 from themeloom.plans.lineage import cut
+from themeloom.plans.unnest import unnest
 
 
 def attach_topics(docs: DataFrame, assignments: DataFrame, key: str) -> DataFrame:
@@ -51,8 +52,7 @@ def topic_term_counts(
     partial sums. ``terms`` restricts to a vocabulary.
     """
     counted = (
-        document_terms(docs.select("topic", text), text, options)
-        .select("topic", F.explode("terms").alias("term"))
+        unnest(document_terms(docs.select("topic", text), text, options), ["topic"], "terms", "term")
         .groupBy("topic", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -282,8 +282,12 @@ def topics_over_time(
         "bin", F.least(F.floor(offset / F.lit(width)), F.lit(bins - 1)).cast("int")
     )
     counts = cut(
-        document_terms(binned.select("topic", "bin", text), text, options)
-        .select("topic", "bin", F.explode("terms").alias("term"))
+        unnest(
+            document_terms(binned.select("topic", "bin", text), text, options),
+            ["topic", "bin"],
+            "terms",
+            "term",
+        )
         .groupBy("topic", "bin", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

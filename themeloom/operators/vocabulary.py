@@ -9,6 +9,7 @@ from themeloom.functions import tokens as K
 from themeloom.options import VocabularyOptions
 from themeloom.plans.joins import lookup_join
 from themeloom.plans.lineage import cut
+from themeloom.plans.unnest import unnest
 
 
 def document_tokens(
@@ -34,7 +35,7 @@ def term_counts(docs: DataFrame, key: str, text: str, options: VocabularyOptions
     """``(key, term, tf)`` for every term of every text, before any pruning."""
     terms = document_terms(docs.select(key, text), text, options)
     return (
-        terms.select(key, F.explode("terms").alias("term"))
+        unnest(terms, [key], "terms", "term")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -48,13 +49,14 @@ def term_frequencies(docs: DataFrame, text: str, options: VocabularyOptions) ->
     shuffled, never a row per document and term.
     """
     terms = document_terms(docs.select(text), text, options)
-    ordered = terms.select(F.sort_array("terms").alias("s")).where(F.size("s") > 0)
-    shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("s", F.lit(1), F.size("s") - 1))
+    ordered = terms.select(F.sort_array("terms").alias("s"))
+    but_last = F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0)))
+    before = F.concat(F.array(F.lit(None).cast("string")), but_last)
     marked = F.zip_with(
-        "s", shifted, lambda t, before: F.struct(t.alias("term"), (~t.eqNullSafe(before)).alias("new"))
+        "s", before, lambda t, b: F.when(t.isNotNull(), F.struct(t.alias("term"), (~t.eqNullSafe(b)).alias("new")))
     )
     return (
-        ordered.select(F.explode(marked).alias("e"))
+        unnest(ordered, [], marked, "e")
         .groupBy(F.col("e.term").alias("term"))
         .agg(F.count(F.lit(1)).alias("tf"), F.count_if("e.new").alias("df"))
     )
@@ -141,7 +143,7 @@ def stop_word_usage(docs: DataFrame, text: str, first: list[str], second: list[s
     members = sorted(set(first) | set(second))
     tokens = F.filter(K.tokenize(text), lambda t: t.isin(members))
     used = (
-        docs.select(F.explode(tokens).alias("word"))
+        unnest(docs, [], tokens, "word")
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.cleaning import clean_v2
 from themeloom.plans.lineage import scratch_path
+from themeloom.plans.unnest import computed_once
 
 
 def clean_and_filter(docs: DataFrame, key: str, text: str, min_length: int = 50) -> DataFrame:
     """Drop short texts, clean, drop blank results. Holds no state."""
-    cleaned = docs.where(F.length(text) > min_length).select(key, clean_v2(text).alias("text_clean"))
-    return cleaned.where(F.trim("text_clean") != "")
+    long_enough = docs.where(F.length(text) > min_length)
+    cleaned = computed_once(long_enough, clean_v2(text), "text_clean")
+    return cleaned.where(F.trim("text_clean") != "").select(key, "text_clean")
 
 
 def clean_stream(spark: SparkSession, folder: str, table: str, key: str, text: str) -> DataFrame:
@@ -22,6 +24,7 @@ def clean_stream(spark: SparkSession, folder: str, table: str, key: str, text: s
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{table}.parquet")
         .parquet(folder)
+        .repartition(spark.sparkContext.defaultParallelism)
     )
     out = scratch_path(spark, "stream")
     running = (
