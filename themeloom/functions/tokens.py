@@ -75,12 +75,13 @@ def ngrams(tokens: Column, upto: int = 2) -> Column:
         return tokens
     if upto == 2:
         return F.concat(tokens, bigrams(tokens))
-    parts = [tokens]
-    for n in range(2, upto + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1))
-        runs = F.transform(starts, lambda i, n=n: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))
-        parts.append(F.coalesce(runs, F.array().cast("array<string>")))
-    return F.concat(*parts)
+    return F.concat(tokens, *[_runs(tokens, n) for n in range(2, upto + 1)])
+
+
+def _runs(tokens: Column, n: int) -> Column:
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1))
+    joined = F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, F.lit(n))))
+    return F.coalesce(joined, F.array().cast("array<string>"))
 
 
 def noun_lemma(word: Column) -> Column:

@@ -106,15 +106,13 @@ def read_csv_by_line(spark: SparkSession, path: str, schema: T.StructType) -> Da
             F.min(F.struct("block", "line")).alias("first"),
         )
     )
-    header = Window.partitionBy("file")
     first_records = records.groupBy("file").agg(F.min("first").alias("header"))
-    del header
     body = records.join(first_records, "file").where(F.col("first") != F.col("header"))
     text = F.concat_ws("\n", F.transform("lines", lambda l: l["value"]))
     parsed = body.select(
         F.from_csv(
             F.regexp_replace(text, "\r$", ""),
-            F.lit(schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ").replace(",", ", ")),
+            F.lit(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)),
             {**_QUOTING, "multiLine": "true", "maxCharsPerColumn": "-1"},
         ).alias("r")
     ).select("r.*")
