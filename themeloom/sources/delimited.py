@@ -90,24 +90,27 @@ def read_csv_by_line(spark: SparkSession, path: str, schema: T.StructType) -> Da
     # A record is named by the block and line it starts in. Lines that continue a
     # record from an earlier block take the last start before their own block.
     starts = F.when(F.col("open") % 2 == 0, F.struct("block", "line"))
-    local = placed.withColumn("start", F.last(starts, ignorenulls=True).over(within))
+    # The header is the record of the first line of a file's first block.
+    is_header = (F.col("block") == 0) & (F.row_number().over(within) == 1)
+    local = placed.withColumn("start", F.last(starts, ignorenulls=True).over(within)).withColumn(
+        "header", is_header
+    )
     last_start = local.groupBy("file", "block").agg(F.max("start").alias("last_start"))
     carried = last_start.select(
         "file",
         "block",
         F.last("last_start", ignorenulls=True).over(before).alias("carried"),
     )
-    records = (
+    body = (
         local.join(carried, ["file", "block"])
         .withColumn("start", F.coalesce("start", "carried"))
         .groupBy("file", "start")
         .agg(
             F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("lines"),
-            F.min(F.struct("block", "line")).alias("first"),
+            F.bool_or("header").alias("header"),
         )
+        .where(~F.col("header"))
     )
-    first_records = records.groupBy("file").agg(F.min("first").alias("header"))
-    body = records.join(first_records, "file").where(F.col("first") != F.col("header"))
     text = F.concat_ws("\n", F.transform("lines", lambda l: l["value"]))
     parsed = body.select(
         F.from_csv(
