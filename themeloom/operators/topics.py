@@ -173,16 +173,16 @@ def topic_centroids(vectors: DataFrame, vector: str) -> DataFrame:
     )
 
 
-# Vectors scored against a table of centroids see it in chunks of this many.
+# Vectors scored against a table of centroids see it in chunks of about this many,
+# which with vectors of up to 1,024 dimensions take some 4 MiB.
 CENTROID_CHUNK = 512
+CHUNK_BYTES = CENTROID_CHUNK * 8 * 1024
 
 
-def centroid_chunks(centroids: DataFrame) -> DataFrame:
-    """``(chunk, entries)`` with at most CENTROID_CHUNK topics per row."""
-    numbered = centroids.select(
-        "topic", "centroid", (F.row_number().over(Window.orderBy("topic")) - 1).alias("i")
-    )
-    return numbered.groupBy(F.floor(F.col("i") / CENTROID_CHUNK).alias("chunk")).agg(
+def centroid_chunks(centroids: DataFrame, n_chunks: int) -> DataFrame:
+    """``(chunk, entries)``: the centroids spread over ``n_chunks`` rows by a hash of the topic."""
+    chunk = F.pmod(F.xxhash64("topic"), F.lit(n_chunks)).cast("int")
+    return centroids.groupBy(chunk.alias("chunk")).agg(
         F.collect_list(F.struct("topic", "centroid")).alias("entries")
     )
 
@@ -195,14 +195,14 @@ def score_arrays(
     The whole result is a full matrix by nature. Rows stay in their tasks, and
     centroid chunks of bounded size come to them.
     """
-    chunks = cut(centroid_chunks(centroids))
-    n_chunks = chunks.count()
-    chunk_ids = F.sequence(F.lit(0).cast("bigint"), F.lit(max(n_chunks, 1) - 1).cast("bigint"))
+    n_chunks = max(1, -(-centroids.count() // CENTROID_CHUNK))
+    chunks = cut(centroid_chunks(centroids, n_chunks))
+    chunk_ids = F.sequence(F.lit(0), F.lit(n_chunks - 1))
     joined = lookup_join(
         rows.withColumn("chunk", F.explode(chunk_ids)),
         chunks,
         ["chunk"],
-        row_bytes=CENTROID_CHUNK * 1024,
+        row_bytes=CHUNK_BYTES,
         table_rows=n_chunks,
     )
     scored = F.transform(
