@@ -125,3 +125,17 @@ def test_epsilon_keeps_near_groups_together(spark):
     count = lambda o: len({r["topic"] for r in density.hdbscan_levels(table(spark, points), "id", "v", o).collect()} - {-1})
     assert count(near) == 4
     assert count(far) == 2
+
+
+def test_tree_without_far_pairs_of_blocks(spark):
+    rng = np.random.default_rng(6)
+    line = np.concatenate([rng.normal((10 * c, 0), 0.3, (24, 2)) for c in range(5)])
+    df = table(spark, line)
+    near = neighbours.nearest_neighbours(df, "id", "v", 2, block_rows=8)
+    cores = density.core_distances(near, 3)
+    blocks = neighbours.to_blocks(df.selectExpr("id as rep", "v"), len(line), 8, 8)
+    members = density.cut(density._block_trees(blocks, cores))
+    n = members.count()
+    assert density._bridgeable(members).count() < n * (n - 1) // 2
+    tree = density.spanning_tree(df, "id", "v", 3, block_rows=8)
+    assert {(r["src"], r["dst"], round(r["w"], 9)) for r in tree.collect()} == tree_of(line, 3)
