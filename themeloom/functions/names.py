@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 
+# Fixed value: what a normalised name may not contain.
 _OTHER = re.compile("[^a-z0-9]+")
 
 
