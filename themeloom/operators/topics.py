@@ -219,8 +219,8 @@ def topic_similarity(vectors: DataFrame, vector: str) -> DataFrame:
     )
     unit = cut(unit)
     scored, _ = score_arrays(unit, unit, lambda c: V.dot(F.col("centroid"), c))
-    return scored.select(F.col("topic").alias("topic_a"), F.explode("scores").alias("s")).select(
-        "topic_a", F.col("s.topic").alias("topic_b"), F.col("s.score").alias("similarity")
+    return unnest(scored, ["topic"], "scores", "s").select(
+        F.col("topic").alias("topic_a"), F.col("s.topic").alias("topic_b"), F.col("s.score").alias("similarity")
     )
 
 
@@ -239,7 +239,7 @@ def topic_probabilities(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     scored = scored.select(key, "given_topic", "scores", summed.alias("total"))
     if n_chunks > 1:
         scored = scored.withColumn("total", F.sum("total").over(Window.partitionBy(key)))
-    return scored.select(key, "given_topic", "total", F.explode("scores").alias("s")).select(
+    return unnest(scored, [key, "given_topic", "total"], "scores", "s").select(
         key,
         F.col("s.topic").alias("topic"),
         "given_topic",
