@@ -69,3 +69,28 @@ taken AS (
   SELECT *, CAST(epochs AS BIGINT), least(n_tokens, rest - start) FROM placed WHERE start < rest)
 SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n_tokens AS BIGINT) AS n_tokens,
   CAST(take_tokens AS BIGINT) AS take_tokens FROM taken"""
+
+ORACLES["op3_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, length(replace(text, '\', '\\')) + (length(text) - length(replace(text, '<s>', ''))) // 3
+      + (length(text) - length(replace(text, '</s>', ''))) // 4 + (length(text) - length(replace(text, '[INST]', ''))) // 6
+      + (length(text) - length(replace(text, '[/INST]', ''))) // 7 AS text_chars,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(text_chars + CASE WHEN role IS NOT DISTINCT FROM before THEN 7 ELSE length(role) + 3 + 6 + 4 END) AS BIGINT)
+    AS formatted_chars
+FROM marked GROUP BY conv_id"""
+
+ORACLES["op7_warc"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+keepers AS (SELECT html, max(page_id) AS keeper FROM payloads WHERE n >= 1000 GROUP BY html)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM payloads LEFT JOIN keepers USING (html)"""
