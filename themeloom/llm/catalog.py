@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, chat, exact, language, mixing, simhash, warc
+from themeloom.llm import bpe, chat, exact, language, mixing, simhash, syncmers, warc
 from themeloom.plans.lineage import scratch_path
 from themeloom.sources.tables import read_table
 
@@ -96,3 +96,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     read = warc.archive_round_trip(read_table(spark, sf, "pages"), scratch_path(spark, "warc"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_syncmers")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return syncmers.edited_fingerprints(read_table(spark, sf, "documents"))

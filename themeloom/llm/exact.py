@@ -20,7 +20,7 @@ from themeloom.llm.common import SPACE_RUN, text_or_empty
 from themeloom.plans.lineage import cut
 
 START_DEPTH = 4
-FULL_DEPTH = 20  # 2^20 pointers at most: a fixed bound of 16 MB, whatever the data
+FULL_DEPTH = 16  # 65,536 pointers at most: a fixed bound of about 1 MB, whatever the data
 
 
 @dataclass(frozen=True)
