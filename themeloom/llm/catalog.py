@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, chat, exact, language, mixing, simhash, syncmers, warc
+from themeloom.llm import bpe, chat, exact, language, mixing, simhash, suffixes, syncmers, warc
 from themeloom.plans.lineage import scratch_path
 from themeloom.sources.tables import read_table
 
@@ -101,3 +101,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_syncmers")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return syncmers.edited_fingerprints(read_table(spark, sf, "documents"))
+
+
+@query("op10_suffixes")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.repeated_passages(read_table(spark, sf, "documents")).drop("spans")
