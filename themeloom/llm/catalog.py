@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, chat, exact, language, mixing, simhash, suffixes, syncmers, warc
+from themeloom.llm import bpe, chat, exact, language, lines, mixing, simhash, suffixes, syncmers, warc
 from themeloom.plans.lineage import scratch_path
 from themeloom.sources.tables import read_table
 
@@ -106,3 +106,9 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_suffixes")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return suffixes.repeated_passages(read_table(spark, sf, "documents")).drop("spans")
+
+
+@query("op2_lines")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    found = lines.deduplicate_lines(read_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

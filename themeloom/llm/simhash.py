@@ -124,28 +124,30 @@ def tree_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(values: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
-    """``(src, dst)`` between the distinct fingerprints ``(fp)``: a tree per key and group.
+def dealt(rows: DataFrame, fp: str, radius: int, blocks: int, tile: int) -> DataFrame:
+    """``rows`` once per unit of comparison, named in ``unit``; rows that may be linked share one.
 
-    A key with more than ``tile`` fingerprints is dealt in tiles, and every pair
-    of tiles is a unit of its own, so no task holds more than two tiles at a
-    time and none of the pairs is lost.
+    A key with more than ``tile`` rows is dealt in tiles, and every pair of
+    tiles is a unit of its own, so no task holds more than two tiles at a time
+    and none of the pairs is lost.
     """
-    keyed = values.select("fp", F.explode(block_keys(F.col("fp"), blocks, radius)).alias("key"))
+    keyed = rows.select("*", F.explode(block_keys(F.col(fp), blocks, radius)).alias("_key"))
     large = cut(
-        keyed.groupBy("key").count().where(F.col("count") > tile)
-        .select(F.col("key").alias("_key"), F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+        keyed.groupBy("_key").count().where(F.col("count") > tile)
+        .select(F.col("_key").alias("_large"), F.ceil(F.col("count") / tile).cast("int").alias("_tiles"))
     )
-    tiled = keyed.join(large, F.col("key") == F.col("_key"), "left").select(
-        "fp",
-        "key",
-        F.coalesce("tiles", F.lit(1)).alias("tiles"),
-        F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("fp"), "tiles")).otherwise(0).cast("int").alias("own"),
+    tiles = F.coalesce("_tiles", F.lit(1))
+    tiled = keyed.join(large, F.col("_key") == F.col("_large"), "left").withColumn(
+        "_own", F.pmod(F.xxhash64(*rows.columns), tiles).cast("int")
     )
-    units = tiled.select(
-        "fp", "own", "key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
-    ).select("fp", F.struct("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
-    units = units.select("fp", F.xxhash64("unit").alias("unit"))
+    units = tiled.select("*", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("_other"))
+    unit = F.xxhash64("_key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return units.select(*rows.columns, unit.alias("unit"))
+
+
+def links(values: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
+    """``(src, dst)`` between the distinct fingerprints ``(fp)``: a tree per unit and group."""
+    units = dealt(values.select("fp"), "fp", radius, blocks, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fps in _runs(batches):

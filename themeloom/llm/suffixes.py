@@ -30,8 +30,6 @@ never.
 from __future__ import annotations
 
 import hashlib
-import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,60 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm.common import text_or_empty
-from themeloom.plans.lineage import cut, scratch_path
+from themeloom.llm.runs import NO_ID, bucketed, pack, row_arrays
+from themeloom.plans.lineage import cut
 
 LENGTH = 50
 GRAM = 24  # bytes of an anchor
 SPAN = LENGTH - GRAM + 1  # k-mers in a window; an anchor is reached from 0 to SPAN - 1 bytes left
-RUN_BYTES = 4_000_000
 PART_BYTES = 1 << 28  # of input per part of the anchor hashes
 CHUNK = 1 << 17
-NO_ID = np.iinfo(np.int64).max  # stands for a null id: smaller than none
-
-RUN = "run long, ids array<long>, ends array<long>, data binary"
-
-
-def pack(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Documents packed into rows of about RUN_BYTES: ids, ends of their bytes, all bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ends, parts, size = [], [], [], 0
-
-        def row() -> pa.RecordBatch:
-            name = int.from_bytes(os.urandom(8), "big") >> 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())),
-                 pa.array([b"".join(parts)], pa.binary())],
-                ["run", "ids", "ends", "data"],
-            )
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                data = batch.column(1)[i].as_py()
-                ids.append(batch.column(0)[i].as_py())
-                parts.append(data)
-                size += len(data)
-                ends.append(size)
-                if size >= RUN_BYTES:
-                    yield row()
-                    ids, ends, parts, size = [], [], [], 0
-        if ids:
-            yield row()
-
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.encode(text_or_empty(text), "UTF-8").alias("b"))
-    return rows.mapInArrow(run, RUN)
-
-
-def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    """``rows`` as a table in the shared folder, bucketed by run."""
-    spark = rows.sparkSession
-    name = f"runs_{uuid.uuid4().hex}"
-    path = scratch_path(spark, "runs")
-    rows.write.format("parquet").bucketBy(buckets, "run").option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 @dataclass
 class Anchors:
     """``at``: positions; ``first``, ``last``: the windows that name it; ``mark``: hash of its k-mer."""
@@ -172,20 +124,13 @@ def _slices(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(parts[s]), int(s), int(e)
 
 
-def _row_arrays(batch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    ids = batch.column("ids")[i].as_py()
-    known = np.array([NO_ID if x is None else x for x in ids], np.int64)
-    ends = np.array(batch.column("ends")[i].as_py(), np.int64)
-    return np.frombuffer(batch.column("data")[i].as_py(), np.uint8), ends, known, ids
-
-
 def sent_marks(runs: DataFrame, bits: int) -> DataFrame:
     """``(part, run, marks, several)``: a run's distinct marks, and which stand in several documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data, ends, _, _ = _row_arrays(batch, i)
+                data, ends, _, _ = row_arrays(batch, i)
                 a = anchors(data, ends)
                 doc = np.searchsorted(ends, a.at, "right")
                 key = _parts(a.mark, bits) << 32 | _short(a.mark).astype(np.int64)
@@ -458,7 +403,7 @@ def settled(blocks: list[FrontCoded]) -> Iterator[tuple[int, np.ndarray]]:
 def sent_elements(table: pa.Table, side: pa.Table, bits: int) -> pa.Table:
     rows = []
     for i in range(table.num_rows):
-        data, ends, ids, _ = _row_arrays(table, i)
+        data, ends, ids, _ = row_arrays(table, i)
         e = elements(data, ends, ids, _shared(side), bits)
         name = table.column("run")[i].as_py()
         rows += [(name, 1, p, front_coded(e, s, t), None) for p, s, t in _slices(e.part)]
@@ -492,7 +437,7 @@ def cut_documents(table: pa.Table, side: pa.Table, bits: int) -> pa.Table:
     unpack = zstandard.ZstdDecompressor().decompress
     out = {name: [] for name in ("k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
     for i in range(table.num_rows):
-        data, ends, ids, keys = _row_arrays(table, i)
+        data, ends, ids, keys = row_arrays(table, i)
         e = elements(data, ends, ids, _shared(side), bits)
         covered = np.zeros(len(data) + 1, np.int64)
         verdicts = [
@@ -540,7 +485,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = _bucketed(pack(docs, key, text), parts)
+    runs = bucketed(pack(docs, key, text), parts)
     size = runs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     bits = max(-(-size // PART_BYTES), parts).bit_length()
     shared = cut(shared_marks(sent_marks(runs, bits)))
