@@ -177,13 +177,13 @@ def mix(
         .agg(F.sum("n_tokens").alias("held"))
         .withColumn("start", F.sum("held").over(W.partitionBy(*leaf).orderBy("slice")) - F.col("held"))
     )
-    ends = cut(
+    ends = (
         slices.where((F.col("start") < F.col("rest")) & (F.col("rest") <= F.col("start") + F.col("held")))
         .groupBy(*leaf).agg(F.min("slice").alias("end"), F.min_by("start", "slice").alias("start"))
     )
-    placed = rows.join(plan.join(ends, leaf, "left"), leaf).withColumn(
-        "slice", hex_number(digest, 1, SLICE_DIGITS)
-    )
+    # Cut, so that its true size decides how the rows are joined to it.
+    goals = cut(plan.join(ends, leaf, "left"))
+    placed = rows.join(goals, leaf).withColumn("slice", hex_number(digest, 1, SLICE_DIGITS))
     out = ["row", *leaf, "n_tokens"]
     whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).otherwise(
         F.array().cast("array<bigint>")
