@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+SPACES = tuple(" \t\n\x0b\x0c\r")
 
 
 def text_or_empty(text: str | Column) -> Column:
@@ -24,5 +25,6 @@ def bound_to(value: Column, body) -> Column:
 
 def word_count(text: str | Column) -> Column:
     """Words between runs of ASCII white space; 0 for null and blank texts."""
-    bare = F.regexp_replace(text_or_empty(text), rf"^{SPACE_RUN}|{SPACE_RUN}$", "")
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_RUN))).cast("long")
+    whole = text_or_empty(text)
+    outside = sum(F.substring(whole, at, 1).isin(*SPACES).cast("int") for at in (1, -1))
+    return F.when(whole == "", F.lit(0)).otherwise(F.size(F.split(whole, SPACE_RUN)) - outside).cast("long")
