@@ -75,15 +75,15 @@ def test_exact_sizes_and_repartitioning(spark):
     assert ids == sorted(r["id"] for r in b.select("id").collect())
     counts = rows.groupBy(F.col("p").alias("stratum"), F.col("q").alias("substratum")).agg(F.count("*").alias("pop"))
     cells = quotas.sample_cells(counts, options).collect()
-    expected = sum(int(c["quota"] + 1e-6) for c in cells)
-    assert len(ids) == expected <= options.total
+    expected = sum(c["take"] for c in cells)
+    assert len(ids) == expected == round(sum(c["quota"] for c in cells)) <= options.total
     assert a.where("p is null").count() > 0
     assert a.where("q is null and p = 'hot'").count() > 0
 
 
 def test_few_buckets_give_the_same_sample(spark):
     rows = hot_rows(spark).withColumn("cell", F.lit(1))
-    cells = spark.createDataFrame([(1, 777.0)], "cell int, quota double")
+    cells = spark.createDataFrame([(1, 777)], "cell int, take long")
     fine = sampling.take_per_cell(rows, cells, ["cell"], "id", 3)
     coarse = sampling.take_per_cell(rows, cells, ["cell"], "id", 3, digits=1)
     assert fine.count() == 777

@@ -35,6 +35,7 @@ from themeloom.sources.tables import (
     topic_documents,
     topic_vectors,
     vectors,
+    with_vector,
 )
 from themeloom.streaming.cleaning import clean_stream
 
@@ -80,8 +81,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topic_texts(spark: SparkSession, sf: str) -> DataFrame:
-    topics_given = given_topics(spark, sf).withColumnRenamed("vec_id", "sample_id")
-    return _texts(spark, sf).join(topics_given, "sample_id")
+    return topic_documents(spark, sf)
 
 
 # Sources and sinks
@@ -148,9 +148,9 @@ def clustered_sink(spark: SparkSession, sf: str) -> DataFrame:
         topics.topic_probabilities(topic_vectors(spark, sf), "vec_id", "embedding"), "vec_id"
     )
     assigned = given_topics(spark, sf).join(probabilities, "vec_id").select(
-        F.col("vec_id").alias("sample_id"), "topic", F.col("max_probability").alias("topic_probability")
+        "vec_id", "topic", F.col("max_probability").alias("topic_probability")
     )
-    rows = complaints(spark, sf).join(assigned, "sample_id")
+    rows = with_vector(complaints(spark, sf), spark, sf).join(assigned, "vec_id").drop("vec_id")
     path = scratch_path(spark, "clustered")
     delimited.write_by_topic(rows, path)
     return spark.read.parquet(path).select(
@@ -570,6 +570,7 @@ def fuzzy_graph(spark: SparkSession, sf: str) -> DataFrame:
     found = neighbours.nearest_neighbours(
         vectors(spark, sf), "vec_id", "embedding", FUZZY_NEIGHBOURS, "cosine"
     )
+    found = neighbours.cosine_distances(found)
     return neighbours.fuzzy_graph(found, FUZZY_NEIGHBOURS).select("src", "dst", _r("weight").alias("weight"))
 
 

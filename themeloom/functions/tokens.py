@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.ml.feature import StopWordsRemover
@@ -18,18 +19,24 @@ EXTRA_STOP_WORDS = (
     "like", "just", "know", "need", "want", "asked", "told", "called", "went",
 )
 
-# Noun endings and what replaces them, tried in this order.
+# End of fixed values.
+
+# Plural endings and what replaces them, tried in this order. Endings that need a
+# lexicon (-ves, -men) are left alone: an unchanged word does less harm than a broken one.
 NOUN_ENDINGS = (
-    ("ies", "y"),
+    ("abuses", "abuse"),
+    ("buses", "bus"),
+    ("bonuses", "bonus"),
+    ("statuses", "status"),
+    ("sses", "ss"),
     ("ches", "ch"),
     ("shes", "sh"),
-    ("ses", "s"),
     ("xes", "x"),
-    ("zes", "z"),
-    ("men", "man"),
+    ("ies", "y"),
     ("s", ""),
 )
-# End of fixed values.
+UNCHANGED_ENDINGS = "(ss|us|is|ves)$"
+UNCHANGED_WORDS = ("always", "does", "goes", "has", "perhaps", "series", "species", "was", "news")
 
 # Words of letters, digits and "_" in any script. Java's own \w is ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
@@ -41,7 +48,10 @@ def english_stop_words() -> list[str]:
 
 
 def stop_words(extra: Iterable[str] = EXTRA_STOP_WORDS) -> list[str]:
-    return sorted(set(english_stop_words()) | set(extra))
+    """English and extra words, with the pieces that the tokeniser makes of contractions."""
+    english = english_stop_words()
+    pieces = {p for w in english if "'" in w for p in re.findall(r"\w+", w)}
+    return sorted({*english, *pieces, *extra})
 
 
 def tokenize(text: Column | str, min_chars: int = 1, lower: bool = True) -> Column:
@@ -86,7 +96,9 @@ def _runs(tokens: Column, n: int) -> Column:
 
 def noun_lemma(word: Column) -> Column:
     """Strip a plural ending from a lower-case word of four letters or more."""
-    rule = F.when((F.length(word) < 4) | word.rlike("(ss|us|is)$"), word)
+    rule = F.when(
+        (F.length(word) < 4) | word.rlike(UNCHANGED_ENDINGS) | word.isin(*UNCHANGED_WORDS), word
+    )
     for ending, replacement in NOUN_ENDINGS:
         rule = rule.when(word.endswith(ending), F.regexp_replace(word, ending + "$", replacement))
     return rule.otherwise(word)

@@ -152,4 +152,22 @@ def sample_cells(
             )
         )
         .where(F.col("quota") > 0)
+        .transform(with_whole_numbers)
     )
+
+
+def with_whole_numbers(cells: DataFrame) -> DataFrame:
+    """Adds ``take``: quotas as whole numbers that add up to the rounded sum.
+
+    Every cell gets its quota rounded down; what is missing goes to the largest
+    remainders, ties by name. One row per cell: a table of counts.
+    """
+    down = F.floor(F.col("quota") + ROUNDING)
+    remainder = F.round(F.col("quota") - down, 6)
+    everything = Window.partitionBy(F.lit(0))
+    order = everything.orderBy(
+        F.desc(remainder), F.asc_nulls_first("stratum"), "by_substratum", F.asc_nulls_first("substratum")
+    )
+    missing = F.round(F.sum("quota").over(everything)) - F.sum(down).over(everything)
+    extra = (F.row_number().over(order) <= missing) & (down < F.col("pop"))
+    return cells.withColumn("take", (down + F.when(extra, 1).otherwise(0)).cast("bigint"))

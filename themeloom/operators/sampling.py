@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from themeloom.functions.hashing import seeded_hash, unit_interval
 from themeloom.operators.profiles import value_counts
-from themeloom.operators.quotas import ROUNDING, sample_cells
+from themeloom.operators.quotas import sample_cells
 from themeloom.options import SampleOptions
 from themeloom.plans.joins import lookup_join
 from themeloom.plans.lineage import cut
 
 # Hex digits of the hash that form a bucket: 65,536 slices of every stratum.
 BUCKET_DIGITS = 4
-_PAST_ALL = "g"
 
 
 def take_per_cell(
@@ -29,56 +28,64 @@ def take_per_cell(
     seed: int,
     digits: int = BUCKET_DIGITS,
 ) -> DataFrame:
-    """The first ``floor(quota)`` rows of every cell in hash order, exactly.
+    """The first ``take`` rows of every cell in hash order, exactly.
 
-    ``cells`` holds ``quota`` and any columns to carry along, one row per cell.
-    No cell is sorted whole. Counting rows per cell and hash bucket tells in
-    which bucket a cell's quota ends; rows of earlier buckets are in, rows of
-    that bucket are ranked within it, which are 1/65,536 of the cell.
+    ``cells`` holds ``take`` and any columns to carry along, one row per cell.
+    Cells, hashes and keys are read once into a narrow table. Counting it per
+    cell and hash bucket tells in which bucket a cell's quota ends; only that
+    bucket, 1/65,536 of the cell, is ranked, for the hash at which the cell ends.
+    The rows themselves are read once and never move.
     """
-    hashed = rows.withColumn("_hash", seeded_hash(key, seed)).withColumn(
-        "_bucket", F.substring("_hash", 1, digits)
-    )
+    digest = seeded_hash(key, seed)
+    narrow = cut(rows.select(*cell_keys, F.col(key).alias("_key"), digest.alias("_hash")))
+    narrow = narrow.withColumn("_bucket", F.substring("_hash", 1, digits))
     by_cell = Window.partitionBy(*cell_keys).orderBy("_bucket")
     running = (
-        hashed.groupBy(*cell_keys, "_bucket")
+        narrow.groupBy(*cell_keys, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.sum("_n").over(by_cell))
     )
-    wanted = lookup_join(running, cells.select(*cell_keys, "quota"), cell_keys)
-    take = F.floor(F.col("quota") + ROUNDING)
-    reached = F.when(F.col("_upto") >= take, F.struct("_bucket", "_upto", "_n"))
+    reached = F.when(F.col("_upto") >= F.col("take"), F.struct("_bucket", "_upto", "_n"))
     ends = cut(
-        wanted.groupBy(*cell_keys)
-        .agg(F.min(reached).alias("_end"), F.max("quota").alias("_quota"))
+        lookup_join(running, cells.select(*cell_keys, "take"), cell_keys)
+        .groupBy(*cell_keys)
+        .agg(F.min(reached).alias("_end"), F.max("take").alias("take"))
         .select(
             *cell_keys,
-            F.coalesce("_end._bucket", F.lit(_PAST_ALL)).alias("_last_bucket"),
-            (F.floor(F.col("_quota") + ROUNDING) - F.coalesce(F.col("_end._upto") - F.col("_end._n"), F.lit(0))).alias(
-                "_rest"
-            ),
+            F.col("_end._bucket").alias("_last_bucket"),
+            (F.col("take") - (F.col("_end._upto") - F.col("_end._n"))).alias("_rest"),
         )
     )
-    ends = _carry(ends, cells, cell_keys)
-    near = lookup_join(hashed, ends, cell_keys).where(F.col("_bucket") <= F.col("_last_bucket"))
-    in_bucket = Window.partitionBy(*cell_keys, "_bucket").orderBy("_hash", key)
+    in_cell = Window.partitionBy(*cell_keys).orderBy("_hash", "_key")
+    last = (
+        lookup_join(narrow, ends, cell_keys)
+        .where(F.col("_bucket") == F.col("_last_bucket"))
+        .withColumn("_rank", F.row_number().over(in_cell))
+        .where(F.col("_rank") == F.col("_rest"))
+        .select(*cell_keys, F.struct("_hash", "_key").alias("_last"))
+    )
+    # Cells smaller than their quota have no end and are taken whole.
+    bounds = ends.select(*cell_keys, F.col("_last_bucket").isNull().alias("_whole"))
+    bounds = cut(lookup_join(bounds, cut(last), cell_keys, "left"))
+    bounds = _carry(bounds, cells, cell_keys)
+    at = F.struct(digest.alias("_hash"), F.col(key).alias("_key"))
     return (
-        near.withColumn("_rank", F.row_number().over(in_bucket))
-        .where((F.col("_bucket") < F.col("_last_bucket")) | (F.col("_rank") <= F.col("_rest")))
-        .drop("_hash", "_bucket", "_last_bucket", "_rest", "_rank")
+        lookup_join(rows, bounds, cell_keys)
+        .where(F.col("_whole") | (at <= F.col("_last")))
+        .drop("_whole", "_last")
     )
 
 
-def _carry(ends: DataFrame, cells: DataFrame, cell_keys: list[str]) -> DataFrame:
-    extra = [c for c in cells.columns if c not in cell_keys and c not in ("quota", "pop")]
+def _carry(bounds: DataFrame, cells: DataFrame, cell_keys: list[str]) -> DataFrame:
+    extra = [c for c in cells.columns if c not in cell_keys and c not in ("quota", "pop", "take")]
     if not extra:
-        return ends
-    return cut(lookup_join(ends, cells.select(*cell_keys, *extra), cell_keys))
+        return bounds
+    return cut(lookup_join(bounds, cells.select(*cell_keys, *extra), cell_keys))
 
 
 def capped_sample(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """``n`` rows in hash order, or all when there are fewer."""
-    cell = rows.sparkSession.range(1).select(F.lit(0).alias("_cell"), F.lit(float(n)).alias("quota"))
+    cell = rows.sparkSession.range(1).select(F.lit(0).alias("_cell"), F.lit(n).cast("bigint").alias("take"))
     return take_per_cell(rows.withColumn("_cell", F.lit(0)), cell, ["_cell"], key, seed).drop("_cell")
 
 
@@ -129,6 +136,7 @@ def _renamed(cells: DataFrame) -> DataFrame:
         F.col("substratum").alias("_substratum"),
         "pop",
         "quota",
+        "take",
         "sampling_stage",
     )
 
@@ -136,10 +144,11 @@ def _renamed(cells: DataFrame) -> DataFrame:
 def stratified_sample(
     rows: DataFrame, stratum: str, substratum: str, key: str, options: SampleOptions
 ) -> DataFrame:
-    """Exactly ``floor(quota)`` rows of every cell, tagged with ``sampling_stage``.
+    """Exactly ``take`` rows of every cell, tagged with ``sampling_stage``.
 
-    The input is read three times, whatever the number of strata: twice for
-    counts of a few columns, once for the rows themselves.
+    The input is read three times, whatever the number of strata: for counts,
+    for hashes, and for the rows themselves. Filters on the text make the first
+    two read it too.
     """
     cells = _cells_of(rows, stratum, substratum, options)
     placed = _with_cell(rows, cells, stratum, substratum)
@@ -156,7 +165,7 @@ def stratified_sample_bernoulli(
     return (
         lookup_join(placed, _renamed(cells), _CELL_KEYS)
         .where((F.col("quota") >= F.col("pop")) | is_sampled(key, fraction, options.seed))
-        .drop(*_CELL_KEYS, "pop", "quota")
+        .drop(*_CELL_KEYS, "pop", "quota", "take")
     )
 
 

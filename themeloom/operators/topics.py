@@ -176,7 +176,6 @@ def topic_centroids(vectors: DataFrame, vector: str) -> DataFrame:
 # Vectors scored against a table of centroids see it in chunks of about this many,
 # which with vectors of up to 1,024 dimensions take some 4 MiB.
 CENTROID_CHUNK = 512
-CHUNK_BYTES = CENTROID_CHUNK * 8 * 1024
 
 
 def centroid_chunks(centroids: DataFrame, n_chunks: int) -> DataFrame:
@@ -202,8 +201,6 @@ def score_arrays(
         rows.withColumn("chunk", F.explode(chunk_ids)),
         chunks,
         ["chunk"],
-        row_bytes=CHUNK_BYTES,
-        table_rows=n_chunks,
     )
     scored = F.transform(
         "entries", lambda e: F.struct(e["topic"].alias("topic"), score(e["centroid"]).alias("score"))

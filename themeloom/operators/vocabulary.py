@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeloom.functions import tokens as K
@@ -17,7 +17,9 @@ def document_tokens(
 ) -> DataFrame:
     """Adds the words of each text without stop words; the text itself goes."""
     source = K.lemmatize(text) if options.lemmas else F.col(text)
-    words = K.stop_words() if options.stop_words is None else options.stop_words
+    words = options.stop_words
+    if words is None:
+        words = K.stop_words(K.EXTRA_STOP_WORDS if options.extra_stop_words else ())
     tokens = K.without_words(K.tokenize(source, options.min_chars), words)
     return docs.select(*[c for c in docs.columns if c != text], tokens.alias(name))
 
@@ -64,18 +66,35 @@ def term_frequencies(docs: DataFrame, text: str, options: VocabularyOptions) ->
 
 def prune_terms(frequencies: DataFrame, n_units: int, options: VocabularyOptions) -> DataFrame:
     """Terms within the document-frequency bounds; ``max_df`` is a share of ``n_units``."""
+    least = max(options.min_df, n_units // options.min_df_divisor if options.min_df_divisor else 0)
     return frequencies.where(
-        (F.col("df") >= options.min_df) & (F.col("df") <= F.lit(options.max_df * n_units))
+        (F.col("df") >= least) & (F.col("df") <= F.lit(options.max_df * n_units))
     )
 
 
-def most_frequent(frequencies: DataFrame, n: int) -> DataFrame:
-    """The ``n`` terms of greatest total frequency, ties in alphabetical order.
+def most_frequent(frequencies: DataFrame, n: int | None) -> DataFrame:
+    """The ``n`` terms of greatest total frequency, ties in alphabetical order; all for ``None``.
 
-    A vocabulary size is a setting (40,000), so the final merge sorts a bounded
-    number of rows per task.
+    A histogram of the frequencies tells at which one the vocabulary ends (it
+    has a row per distinct frequency, of which T tokens allow no more than about
+    the root of 2T). Only the terms of that one frequency are put in order.
     """
-    return frequencies.orderBy(F.desc("tf"), "term").limit(n)
+    if n is None:
+        return frequencies
+    table = cut(frequencies)
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("tf"))
+    histogram = table.groupBy("tf").agg(F.count(F.lit(1)).alias("terms"))
+    end = (
+        histogram.withColumn("upto", F.sum("terms").over(above))
+        .where(F.col("upto") >= n)
+        .agg(F.max(F.struct("tf", "upto", "terms")).alias("e"))
+        .first()["e"]
+    )
+    if end is None:
+        return table
+    rest = n - (end["upto"] - end["terms"])
+    ties = table.where(F.col("tf") == end["tf"]).orderBy("term").limit(rest)
+    return table.where(F.col("tf") > end["tf"]).unionByName(ties)
 
 
 def vocabulary(docs: DataFrame, text: str, options: VocabularyOptions) -> DataFrame:

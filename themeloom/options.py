@@ -23,11 +23,13 @@ class VocabularyOptions:
     ngram_max: int = 2
     min_df: int = 4
     max_df: float = 0.85
-    max_features: int = 40_000
+    min_df_divisor: int | None = None  # if given, a term needs 1/min_df_divisor of the units too
+    max_features: int | None = 40_000
     min_chars: int = 1
     lemmas: bool = False
     df_unit: str = "document"
     stop_words: tuple[str, ...] | None = None
+    extra_stop_words: bool = True
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,6 @@ class TopicOptions:
 
     dimensions: int = 64
     components: int = 12
-    seed: int = 24
     vocabulary: VocabularyOptions = VocabularyOptions()
     clusters: ClusterOptions = ClusterOptions()
     top_words: int = 10
@@ -56,7 +57,8 @@ class TopicOptions:
 LARGE_SAMPLE = TopicOptions()
 SMALL_SAMPLE = TopicOptions(
     components=5,
-    seed=48,
-    vocabulary=VocabularyOptions(ngram_max=1, min_chars=2),
+    vocabulary=VocabularyOptions(
+        ngram_max=1, min_chars=2, min_df=2, min_df_divisor=100, max_features=None, extra_stop_words=False
+    ),
     clusters=ClusterOptions(min_samples=3, min_cluster_size=15, epsilon=0.05),
 )

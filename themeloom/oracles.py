@@ -28,7 +28,7 @@ VALID = "valid AS (SELECT * FROM complaints WHERE length(consumer_complaint_narr
 GIVEN = """given AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE label END AS topic,
          CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
-TOPIC_DOCS = "topic_docs AS (SELECT c.*, g.topic FROM complaints c JOIN given g ON g.vec_id = c.sample_id)"
+TOPIC_DOCS = "topic_docs AS (SELECT c.*, g.topic FROM complaints c JOIN given g ON g.vec_id = c.sample_id % (SELECT count(*) FROM embeddings))"
 
 
 def _with(*parts: str, recursive: bool = False) -> str:
@@ -51,7 +51,7 @@ def _english_stop_words() -> list[str]:
 
 
 ENGLISH = _english_stop_words()
-STOP = sorted(set(ENGLISH) | set(K.EXTRA_STOP_WORDS))
+STOP = sorted({*ENGLISH, *K.EXTRA_STOP_WORDS, *(p for w in ENGLISH if "'" in w for p in w.split("'"))})
 
 # Cleaning. RE2 sees only ASCII letters as word characters, Java sees all. Every
 # other letter or digit is therefore wrapped in an ASCII word while the rules run.
@@ -210,9 +210,13 @@ def _strata(counts: str, o: SampleOptions) -> list[str]:
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM room)""",
         """fine AS (SELECT stratum, substratum, pop, quota + CASE WHEN abs(gap) < 1e-6 THEN 0 ELSE
              sign(gap) * greatest(least(abs(gap) - before, room), 0) END AS quota FROM taken)""",
-        """cells AS (SELECT stratum, true AS split, substratum, pop, quota, 'issue_stratified' AS sampling_stage FROM fine
+        """parted AS (SELECT stratum, true AS split, substratum, pop, quota, 'issue_stratified' AS sampling_stage FROM fine
              UNION ALL SELECT stratum, false, NULL, pop, quota, 'product_stratified' FROM strata
              WHERE stratum NOT IN (SELECT stratum FROM fine))""",
+        """downs AS (SELECT *, floor(quota + 1e-6) AS down FROM parted WHERE quota > 0)""",
+        """cells AS (SELECT *, down + CASE WHEN down < pop AND row_number() OVER (ORDER BY round(quota - down, 6) DESC,
+             stratum NULLS FIRST, split, substratum NULLS FIRST) <= round(sum(quota) OVER ()) - sum(down) OVER ()
+             THEN 1 ELSE 0 END AS take FROM downs)""",
     ]
 
 
@@ -236,11 +240,11 @@ SELECT o_orderkey, o_orderpriority FROM orders
 WHERE {_chance('o_orderkey', Q.BERNOULLI_SEED)} < {Q.BERNOULLI_FRACTION}
 ORDER BY md5('{Q.BERNOULLI_SEED}:' || o_orderkey), o_orderkey LIMIT {Q.BERNOULLI_CAP}"""
 _DOC_CELLS = (COMPLAINTS, VALID, DOC_COUNTS, *_strata("counts", Q.DOCUMENT_SAMPLE))
-_DOC_PLACED = """placed AS (SELECT v.*, c.pop, c.quota, c.sampling_stage, c.split FROM valid v JOIN cells c
+_DOC_PLACED = """placed AS (SELECT v.*, c.pop, c.quota, c.take, c.sampling_stage, c.split FROM valid v JOIN cells c
   ON c.stratum = v.product AND (NOT c.split OR c.substratum IS NOT DISTINCT FROM v.issue))"""
 _DOC_SAMPLE = """ranked AS (SELECT *, row_number() OVER (PARTITION BY product, CASE WHEN split THEN issue END
   ORDER BY md5('25:' || sample_id), sample_id) AS rn FROM placed),
-sampled AS (SELECT * FROM ranked WHERE rn <= floor(quota + 1e-6))"""
+sampled AS (SELECT * FROM ranked WHERE rn <= take)"""
 ORACLES["stratified_sample_bernoulli"] = _with(*_DOC_CELLS, _DOC_PLACED) + f"""
 SELECT sample_id, product, issue, sampling_stage FROM placed
 WHERE quota >= pop OR {_chance('sample_id', 25)} < quota / pop"""
@@ -251,11 +255,11 @@ SELECT sample_id, nullif({_clean('consumer_complaint_narrative', C.rules_v2(), T
 FROM sampled"""
 ORACLES["stratified_sample_orders"] = _with(ORDER_COUNTS, *_strata("counts", Q.ORDER_SAMPLE)) + """
 SELECT o_orderkey, o_orderpriority, o_orderstatus, sampling_stage FROM (
-  SELECT o.*, c.quota, c.sampling_stage, row_number() OVER (
+  SELECT o.*, c.take, c.sampling_stage, row_number() OVER (
     PARTITION BY o_orderpriority, CASE WHEN c.split THEN o_orderstatus END
     ORDER BY md5('25:' || o_orderkey), o_orderkey) AS rn
   FROM orders o JOIN cells c ON c.stratum = o_orderpriority AND (NOT c.split OR c.substratum = o_orderstatus))
-WHERE rn <= floor(quota + 1e-6)"""
+WHERE rn <= take"""
 ORACLES["union_parts"] = """
 SELECT doc_id, lang, 'issue_stratified' AS sampling_stage FROM documents WHERE lang = 'en'
 UNION ALL SELECT doc_id, lang, 'product_stratified' FROM documents"""
@@ -270,7 +274,7 @@ FROM (SELECT doc_id, {_tokens('text', STOP)} AS t FROM documents)"""
 
 
 def _lemma(word: str) -> str:
-    cases = [f"WHEN length({word}) < 4 OR regexp_matches({word}, '(ss|us|is)$') THEN {word}"]
+    cases = [f"WHEN length({word}) < 4 OR regexp_matches({word}, '{K.UNCHANGED_ENDINGS}') OR {word} IN ({_quoted(K.UNCHANGED_WORDS)}) THEN {word}"]
     for ending, replacement in K.NOUN_ENDINGS:
         cases.append(
             f"WHEN ends_with({word}, '{ending}') THEN {word}[:length({word}) - {len(ending)}] || '{replacement}'"
@@ -369,16 +373,20 @@ ORACLES["knn_cosine"] = _with(*_near(Q.NEIGHBOURS, True)) + """
 SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(1 - dist * dist / 2, 6) + 0.0 AS similarity FROM near"""
 ORACLES["fuzzy_graph"] = _with(
     *_near(Q.FUZZY_NEIGHBOURS, True),
+    "spread AS (SELECT src, dst, dist * dist / 2 AS dist FROM near)",
     """local AS (SELECT src, list(dist ORDER BY dist, dst) AS ds, coalesce(min(dist) FILTER (dist > 0), 0) AS rho
-       FROM near GROUP BY src)""",
-    f"""bisect AS (SELECT src, ds, rho, 0 AS step, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi FROM local
+       FROM spread GROUP BY src)""",
+    f"""bisect AS (SELECT src, ds, rho, 0 AS step, 0.0::DOUBLE AS lo, list_min(list_filter(
+         list_transform(range(65), lambda e: 2.0::DOUBLE ** e), lambda h: list_sum(list_transform(ds, lambda d:
+           CASE WHEN d - rho <= 0 THEN 1.0::DOUBLE ELSE exp(-(d - rho) / h) END)) >= ln({Q.FUZZY_NEIGHBOURS}) / ln(2))) AS hi
+       FROM local
        UNION ALL SELECT src, ds, rho, step + 1, CASE WHEN s > ln({Q.FUZZY_NEIGHBOURS}) / ln(2) THEN lo ELSE (lo + hi) / 2 END,
          CASE WHEN s > ln({Q.FUZZY_NEIGHBOURS}) / ln(2) THEN (lo + hi) / 2 ELSE hi END
        FROM (SELECT *, list_sum(list_transform(ds, lambda d: CASE WHEN d - rho <= 0 THEN 1.0::DOUBLE
                ELSE exp(-(d - rho) / ((lo + hi) / 2)) END)) AS s FROM bisect WHERE step < 64))""",
     "scaled AS (SELECT src, rho, greatest(hi, 1e-9) AS sigma FROM bisect WHERE step = 64)",
     """directed AS (SELECT src, dst, CASE WHEN dist - rho <= 0 THEN 1.0 ELSE exp(-(dist - rho) / sigma) END AS w
-       FROM near JOIN scaled USING (src))""",
+       FROM spread JOIN scaled USING (src))""",
     """sides AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst,
          coalesce(max(w) FILTER (src < dst), 0) AS a, coalesce(max(w) FILTER (src > dst), 0) AS b
        FROM directed GROUP BY 1, 2)""",
@@ -442,7 +450,7 @@ SELECT sample_id, product, issue, g.topic, round(max_probability, 6) AS topic_pr
 FROM complaints LEFT JOIN given g ON g.vec_id = sample_id LEFT JOIN best b ON b.vec_id = sample_id"""
 ORACLES["clustered_sink"] = _with(COMPLAINTS, GIVEN, CENTROIDS, PROBABILITIES) + """
 SELECT sample_id, product, issue, g.topic, round(max_probability, 6) AS topic_probability
-FROM complaints JOIN given g ON g.vec_id = sample_id JOIN best b ON b.vec_id = sample_id"""
+FROM complaints JOIN given g ON g.vec_id = sample_id % (SELECT count(*) FROM embeddings) JOIN best b ON b.vec_id = g.vec_id"""
 ORACLES["topic_similarity"] = _with(GIVEN, CENTROIDS) + """
 SELECT a.topic AS topic_a, b.topic AS topic_b, round(list_cosine_similarity(a.c, b.c), 6) + 0.0 AS similarity
 FROM centroids a, centroids b"""

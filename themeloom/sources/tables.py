@@ -51,6 +51,13 @@ def topic_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topic_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Complaints with a given topic, paired by number."""
-    topics = given_topics(spark, folder).withColumnRenamed("vec_id", "sample_id")
-    return complaints(spark, folder).join(topics, "sample_id")
+    """All complaints, each with the given topic of one vector: by number, round and round."""
+    return with_vector(complaints(spark, folder), spark, folder).join(
+        given_topics(spark, folder), "vec_id"
+    ).drop("vec_id")
+
+
+def with_vector(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """``rows`` (sample_id) with the number of a vector; vectors are numbered from 0."""
+    n = read_table(spark, folder, "embeddings").count()
+    return rows.withColumn("vec_id", F.pmod("sample_id", F.lit(n)))
