@@ -46,12 +46,13 @@ def anchors(text: Column) -> Column:
 
     def of(h: Column) -> Column:
         least = bound_to(halved(h, 1), lambda a: bound_to(halved(a, 2), lambda b: halved(b, 4)))
-        return F.when(F.size(h) >= SPAN, bound_to(least, lambda m: selected(h, m))).otherwise(NONE)
+        return F.when(F.size(h) >= SPAN, bound_to(least, lambda m: selected(h, m))).otherwise(no_anchors())
 
     return bound_to(inner, of)
 
 
-NONE = F.expr("cast(array() as array<bigint>)")
+def no_anchors() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def sketch(hashes: Column, whole: Column, size: int = SKETCH) -> Column:
@@ -59,7 +60,7 @@ def sketch(hashes: Column, whole: Column, size: int = SKETCH) -> Column:
 
     A text too short for anchors is its own anchor (``whole``); the empty text has none.
     """
-    own = F.when(whole == "", NONE).otherwise(F.array(F.xxhash64(whole)))
+    own = F.when(whole == "", no_anchors()).otherwise(F.array(F.xxhash64(whole)))
 
     def smallest(a: Column) -> Column:
         most = F.get(F.sort_array(a), F.least(F.lit(size), F.size(a)) - 1)
@@ -105,7 +106,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     points = [i / ranges for i in range(1, ranges)]
     bounds = rows.agg(F.percentile_approx("k", points or [0.5], 10 * ranges).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds))
-    sorted_bounds = F.lit(bounds).cast("array<bigint>") if bounds else NONE
+    sorted_bounds = F.lit(bounds).cast("array<bigint>") if bounds else no_anchors()
     steps = F.array(*[F.lit(1 << i) for i in range(len(bounds).bit_length(), -1, -1)])
     found = F.aggregate(
         steps,
