@@ -42,7 +42,7 @@ def archive(spark, tmp_path_factory):
     rows = warc.with_revisits(df, warc.ArchiveOptions()).coalesce(1)
     (row,) = warc.write_archives(rows, scratch_path(spark, "warc"), warc.ArchiveOptions()).collect()
     system, name = warc._file_system(row.path)
-    with system.open_input_stream(name) as file:
+    with system.open_input_stream(name, compression=None) as file:
         return file.read()
 
 

@@ -112,7 +112,7 @@ def _archives(records: Iterator[dict], folder: str, options: ArchiveOptions) ->
     while record is not None:
         name = f"{uuid.uuid4().hex}.warc.zst"
         count = 0
-        with system.open_output_stream(f"{base}/{name}") as out:
+        with system.open_output_stream(f"{base}/{name}", compression=None) as out:
             out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
             out.write(packer.compress(_information(name, options)))
             while record is not None and out.tell() < options.archive_bytes:
@@ -215,7 +215,7 @@ SCHEMA = pa.schema(
 
 def archive_records(path: str, chunk: int = 1 << 20) -> Iterator[dict]:
     system, name = _file_system(path)
-    with system.open_input_stream(name) as file:
+    with system.open_input_stream(name, compression=None) as file:
         for number, data in enumerate(frames(file, chunk)):
             try:
                 row = parsed(data)
