@@ -1,6 +1,6 @@
 """Fuzzy duplicate lines: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Two lines are linked if the SimHashes of their words differ in at most RADIUS
+Two lines are linked if the SimHashes of their different words differ in at most RADIUS
 bits and their edit similarity is at least 0.8, both on the normalised line
 (lower case, single spaces). Of each connected group the first occurrence stays.
 
@@ -47,7 +47,45 @@ def similar(a: str, b: str) -> bool:
         start += 1
     while end < shorter - start and a[-1 - end] == b[-1 - end]:
         end += 1
-    return edit_distance(a[start : len(a) - end], b[start : len(b) - end]) <= most
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    # Long lines with close SimHashes differ in few places: follow the diagonals first.
+    found = few_edits(a, b, min(most, 4 + len(a) // FEW)) if len(a) + len(b) > LONG else None
+    return found <= most if found is not None else edit_distance(a, b) <= most
+
+
+LONG, FEW = 1000, 50
+
+
+def few_edits(a: str, b: str, limit: int) -> int | None:
+    """Levenshtein distance if it is at most ``limit``: the furthest ends of each diagonal."""
+
+    def slide(x: int, y: int) -> int:
+        step = 16
+        while a[x : x + step] == b[y : y + step]:
+            x, y = x + step, y + step
+            if x >= len(a) or y >= len(b):
+                return min(x, len(a), x + len(b) - y)
+            step *= 2
+        while x < len(a) and y < len(b) and a[x] == b[y]:
+            if a[x : x + step // 2] == b[y : y + step // 2] and step > 1:
+                x, y = x + step // 2, y + step // 2
+            step = max(step // 2, 1)
+        return min(x, len(a), x + len(b) - y)
+
+    goal = len(b) - len(a)
+    ends = {0: slide(0, 0)}
+    for edits in range(limit + 1):
+        if ends.get(goal, -1) >= len(a):
+            return edits
+        nearer = {}
+        for k in range(-edits - 1, edits + 2):
+            x = max(ends.get(k, -2) + 1, ends.get(k - 1, -2), ends.get(k + 1, -2) + 1)
+            if x >= 0 and x + k >= 0:
+                x = min(x, len(a), len(b) - k)
+                if x >= 0 and x + k >= 0:
+                    nearer[k] = slide(x, x + k)
+        ends = nearer
+    return None
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -74,7 +112,7 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def word_simhashes(lines: list[bytes]) -> np.ndarray:
-    """Majority bits of the word hashes of each (normalised, non-empty) line."""
+    """Majority bits of the hashes of the different words of each (normalised, non-empty) line."""
     data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     space = (data == 32) | (data == 10)
     stops = np.flatnonzero(space)
@@ -85,13 +123,23 @@ def word_simhashes(lines: list[bytes]) -> np.ndarray:
     for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
         words = (words ^ (words >> np.uint64(32))) * np.uint64(factor)
     words ^= words >> np.uint64(32)
-    first_word = np.searchsorted(starts, np.concatenate([[0], np.flatnonzero(data == 10)[:-1] + 1]))
+    line = np.repeat(np.arange(len(lines)), np.diff(np.searchsorted(starts, np.append(_line_starts(data), len(data)))))
+    # Each word once: a mark that fills half of a line must not decide alone.
+    order = np.lexsort((words, line))
+    words, line = words[order], line[order]
+    new = np.ones(len(words), bool)
+    new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
+    words, first = words[new], np.searchsorted(line[new], np.arange(len(lines)))
     bits = np.unpackbits(words.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    counts = np.add.reduceat(bits, first_word, axis=0, dtype=np.int32)
-    sizes = np.diff(np.append(first_word, len(words)))
+    counts = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    sizes = np.diff(np.append(first, len(words)))
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def _line_starts(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(data == 10)[:-1] + 1])
+
+
 def _documents(batch, i: int) -> Iterator[tuple[int, list[str]]]:
     data, ends, _, _ = row_arrays(batch, i)
     start = 0
@@ -155,8 +203,9 @@ def _texts(table: pa.Table, side: pa.Table) -> pa.Table:
 
 
 def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    masks = simhash.table_masks(BLOCKS, RADIUS)
     for rows in _units(batches):
-        found = similar_links(rows)
+        found = similar_links(rows, masks)
         if found:
             ends = [[{"la": rows[k][0], "lb": rows[k][1]} for k in side] for side in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(e, NODE) for e in ends], ["src", "dst"])
@@ -179,9 +228,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield list(held.values())
 
 
-def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs that connect the lines (la, lb, sim, text) which are linked, a tree per group."""
+def similar_links(rows: list[tuple], masks: list[int]) -> list[tuple[int, int]]:
+    """Pairs that connect the linked lines (la, lb, sim, text, table, own, diagonal), a tree per group.
+
+    A pair is only looked at in the first table whose blocks it shares and, of
+    the tiles of a large unit, where its two tiles meet: once in all.
+    """
     planes = simhash.BitPlanes(np.array([r[2] for r in rows], np.int64).view(np.uint64))
+    before, diagonal = masks[: rows[0][4]], rows[0][6]
     unseen, links = planes.full, []
     while unseen:
         start = (unseen & -unseen).bit_length() - 1
@@ -189,12 +243,17 @@ def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
         queue = [start]
         while queue and unseen:
             lane = queue.pop()
+            one = rows[lane]
             near = planes.within(lane, RADIUS, unseen)
             while near:
                 low = near & -near
                 near ^= low
                 found = low.bit_length() - 1
-                if similar(rows[lane][3], rows[found][3]):
+                other = rows[found]
+                differ = one[2] ^ other[2]
+                if any(not differ & m for m in before) or not diagonal and one[5] == other[5]:
+                    continue
+                if similar(one[3], other[3]):
                     unseen ^= low
                     links.append((lane, found))
                     queue.append(found)
@@ -241,7 +300,7 @@ def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
     units = simhash.dealt(texts, "sim", RADIUS, BLOCKS, TILE)
     links = (
-        units.repartition("unit").sortWithinPartitions("unit", "la", "lb").select("unit", "la", "lb", "sim", "text")
+        units.repartition("unit").sortWithinPartitions("unit", "la", "lb").select("unit", "la", "lb", "sim", "text", "table", "own", "diagonal")
         .mapInArrow(_unit_links, "src struct<la:long,lb:long>, dst struct<la:long,lb:long>")
     )
     roots = components(links)

@@ -58,14 +58,19 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return docs.select(key, text).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
-def block_keys(fp: Column, blocks: int, radius: int) -> Column:
-    """One key per choice of ``blocks - radius`` bit blocks, the choice hashed in."""
+def table_masks(blocks: int, radius: int) -> list[int]:
+    """The bits of each choice of ``blocks - radius`` bit blocks: a table of keys each."""
     if radius >= blocks:
         raise ValueError("more blocks than the radius are needed")
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    bits = [((1 << (high - low)) - 1) << low for low, high in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(bits, blocks - radius)]
+
+
+def block_keys(fp: Column, blocks: int, radius: int) -> Column:
+    """One key per table, with the number of the table."""
     keys = []
-    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
+    for number, mask in enumerate(table_masks(blocks, radius)):
         signed = mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
         keys.append(F.struct(F.lit(number).alias("table"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
     return F.array(*keys)
@@ -127,6 +132,9 @@ def tree_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def dealt(rows: DataFrame, fp: str, radius: int, blocks: int, tile: int) -> DataFrame:
     """``rows`` once per unit of comparison, named in ``unit``; rows that may be linked share one.
 
+    ``table`` is the table of its key, ``own`` the row's tile, ``diagonal`` tells
+    whether the unit is a tile with itself.
+
     A key with more than ``tile`` rows is dealt in tiles, and every pair of
     tiles is a unit of its own, so no task holds more than two tiles at a time
     and none of the pairs is lost.
@@ -142,7 +150,13 @@ def dealt(rows: DataFrame, fp: str, radius: int, blocks: int, tile: int) -> Data
     )
     units = tiled.select("*", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("_other"))
     unit = F.xxhash64("_key", F.least("_own", "_other"), F.greatest("_own", "_other"))
-    return units.select(*rows.columns, unit.alias("unit"))
+    return units.select(
+        *rows.columns,
+        unit.alias("unit"),
+        F.col("_key.table").alias("table"),
+        F.col("_own").alias("own"),
+        (F.col("_own") == F.col("_other")).alias("diagonal"),
+    )
 
 
 def links(values: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
