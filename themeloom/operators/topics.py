@@ -86,11 +86,10 @@ def c_tf_idf(topic_terms: DataFrame) -> DataFrame:
 
     ``topic_terms`` is read four times: pass a cut table when it is costly.
     """
-    totals = topic_terms.groupBy("topic").agg(F.sum("tf").alias("n_words"))
-    return (
-        topic_terms.join(term_weights(topic_terms), "term")
-        .join(totals, "topic")
-        .select("topic", "term", (F.col("tf") / F.col("n_words") * F.col("idf")).alias("weight"))
+    totals = cut(topic_terms.groupBy("topic").agg(F.sum("tf").alias("n_words")))
+    weighed = topic_terms.join(term_weights(topic_terms), "term")
+    return lookup_join(weighed, totals, ["topic"]).select(
+        "topic", "term", (F.col("tf") / F.col("n_words") * F.col("idf")).alias("weight")
     )
 
 
@@ -291,11 +290,9 @@ def topics_over_time(
     overall = counts.groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
     idf = term_weights(overall)
     shown = counts.where(F.col("topic") != NOISE)
-    totals = shown.groupBy("topic", "bin").agg(F.sum("tf").alias("n_words"))
-    weighted = (
-        shown.join(idf, "term")
-        .join(totals, ["topic", "bin"])
-        .withColumn("weight", F.col("tf") / F.col("n_words") * F.col("idf"))
+    totals = cut(shown.groupBy("topic", "bin").agg(F.sum("tf").alias("n_words")))
+    weighted = lookup_join(shown.join(idf, "term"), totals, ["topic", "bin"]).withColumn(
+        "weight", F.col("tf") / F.col("n_words") * F.col("idf")
     )
     order = Window.partitionBy("topic", "bin").orderBy(F.desc("weight"), "term")
     words = (

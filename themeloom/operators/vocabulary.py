@@ -34,13 +34,25 @@ def document_terms(
 
 
 def term_counts(docs: DataFrame, key: str, text: str, options: VocabularyOptions) -> DataFrame:
-    """``(key, term, tf)`` for every term of every text, before any pruning."""
+    """``(key, term, tf)`` for every term of every text, before any pruning; keys are unique.
+
+    Terms are sorted inside their row, where each run of equal ones is counted:
+    nothing is shuffled.
+    """
     terms = document_terms(docs.select(key, text), text, options)
-    return (
-        unnest(terms, [key], "terms", "term")
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    ordered = terms.select(key, F.sort_array("terms").alias("_s"))
+    places = F.sequence(F.lit(0), F.greatest(F.size("_s") - 1, F.lit(0)))
+    # Behind the end and before the start there is null: an empty row has no start.
+    starts = F.filter(places, lambda i: ~F.get("_s", i).eqNullSafe(F.get("_s", i - 1)))
+    runs = ordered.select("*", starts.alias("_starts"))
+    counted = F.transform(
+        "_starts",
+        lambda at, n: F.struct(
+            F.get("_s", at).alias("term"),
+            (F.coalesce(F.get("_starts", n + 1), F.size("_s")) - at).cast("bigint").alias("tf"),
+        ),
     )
+    return unnest(runs, [key], counted, "e").select(key, "e.term", "e.tf")
 
 
 def term_frequencies(docs: DataFrame, text: str, options: VocabularyOptions) -> DataFrame:
