@@ -112,32 +112,36 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def word_simhashes(lines: list[bytes]) -> np.ndarray:
-    """Majority bits of the hashes of the different words of each (normalised, non-empty) line."""
+    """Majority bits of the hashes of the different words of each (normalised, non-empty) line.
+
+    For up to 65,536 lines at a time.
+    """
     data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     space = (data == 32) | (data == 10)
     stops = np.flatnonzero(space)
     starts = np.concatenate([[0], stops[:-1] + 1])
-    at = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    values = np.where(space, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * POWERS[at & 63])
+    sizes = np.diff(np.append(starts, len(data)))
+    at = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    values = (data.astype(np.uint64) + np.uint64(1)) * POWERS[at & 63]
+    values[space] = 0
     words = np.add.reduceat(values, starts)
-    for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
-        words = (words ^ (words >> np.uint64(32))) * np.uint64(factor)
-    words ^= words >> np.uint64(32)
-    line = np.repeat(np.arange(len(lines)), np.diff(np.searchsorted(starts, np.append(_line_starts(data), len(data)))))
-    # Each word once: a mark that fills half of a line must not decide alone.
-    order = np.lexsort((words, line))
-    words, line = words[order], line[order]
-    new = np.ones(len(words), bool)
-    new[1:] = (words[1:] != words[:-1]) | (line[1:] != line[:-1])
-    words, first = words[new], np.searchsorted(line[new], np.arange(len(lines)))
+    # Each word once: a mark that fills half of a line must not decide alone. One
+    # number holds the line and 48 bits of the word.
+    line = np.searchsorted(np.flatnonzero(data == 10), starts).astype(np.uint64)
+    words = np.unique(line << np.uint64(48) | _mixed(words) >> np.uint64(16))
+    line = words >> np.uint64(48)
+    words = _mixed(words & np.uint64((1 << 48) - 1))
+    first = np.searchsorted(line, np.arange(len(lines), dtype=np.uint64))
     bits = np.unpackbits(words.astype(">u8").view(np.uint8)).reshape(-1, 64)
     counts = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     sizes = np.diff(np.append(first, len(words)))
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _line_starts(data: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.flatnonzero(data == 10)[:-1] + 1])
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(32))
 
 
 def _documents(batch, i: int) -> Iterator[tuple[int, list[str]]]:
@@ -291,7 +295,7 @@ def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text")
         line_rows(runs).groupBy("la", "lb").agg(F.min(place).alias("place"), F.first("sim").alias("sim"))
     )
     sims = cut(lines.groupBy("sim").agg(F.count(F.lit(1)).alias("n")))
-    near = simhash.links(sims.select(F.col("sim").alias("fp")), RADIUS, BLOCKS, 4 * TILE)
+    near = simhash.links(sims.select(F.col("sim").alias("fp")), RADIUS, BLOCKS, 4 * TILE, skim=True)
     near = near.select(F.explode(F.array("src", "dst")).alias("sim"))
     partners = cut(near.unionByName(sims.where("n > 1").select("sim")).distinct())
     asked = lines.join(partners, "sim", "left_semi").select("la", "lb", "sim", "place.run", "place.doc", "place.line")

@@ -159,12 +159,16 @@ def dealt(rows: DataFrame, fp: str, radius: int, blocks: int, tile: int) -> Data
     )
 
 
-def links(values: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
-    """``(src, dst)`` between the distinct fingerprints ``(fp)``: a tree per unit and group."""
+def links(values: DataFrame, radius: int, blocks: int, tile: int, skim: bool = False) -> DataFrame:
+    """``(src, dst)`` between the distinct fingerprints ``(fp)``: a tree per unit and group.
+
+    ``skim`` passes over small units without a close pair, seen for a whole batch
+    at once; worth it where most units hold a chance meeting of two or three.
+    """
     units = dealt(values.select("fp"), "fp", radius, blocks, tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps in _runs(batches):
+        for fps in _runs(batches, radius if skim else None):
             found = tree_links(fps.view(np.uint64), radius)
             if found:
                 a, b = np.array(found).T
@@ -178,7 +182,21 @@ def links(values: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
     )
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+SKIMMED = 8  # rows of the largest unit that is skimmed
+
+
+def _has_close_pair(units: np.ndarray, fps: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
+    """For each unit of at most SKIMMED rows whether two rows are close."""
+    near = np.zeros(len(units), bool)
+    for by in range(1, SKIMMED):
+        same = np.flatnonzero(units[by:] == units[:-by])
+        if not len(same):
+            break
+        near[same[np.bitwise_count(fps[same + by] ^ fps[same]) <= radius]] = True
+    return np.logical_or.reduceat(near, starts)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], skim: int | None) -> Iterator[np.ndarray]:
     """The distinct fingerprints of each unit with two or more; units may span batches.
 
     Units are named by a hash: two that clash only compare more than they need.
@@ -197,7 +215,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         starts = np.concatenate([[0], np.flatnonzero(units[1:] != units[:-1]) + 1])
         ends = np.append(starts[1:], len(units))
         # Runs of one inside the batch have no partner.
-        several = (ends - starts > 1) | (starts == 0) | (ends == len(units))
+        several = ends - starts > 1
+        if skim is not None:
+            several &= (ends - starts > SKIMMED) | _has_close_pair(units, fps.view(np.uint64), starts, skim)
+        several |= (starts == 0) | (ends == len(units))
         for s, e in zip(starts[several], ends[several], strict=True):
             if units[s] != held_unit:
                 yield from whole()
