@@ -213,6 +213,38 @@ def clean_conversations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# A phrase for every act name, citation and redaction rule, put behind all texts in turn.
+PLANTED_MARK = "qqmark"
+PLANTED = (
+    "fair debt collection practices act 809",
+    "Truth in Lending Act section 226",
+    "the Equal Credit Opportunity Act",
+    "Real Estate Settlement Procedures Act § 6",
+    "health insurance portability and accountability act",
+    "Gramm Leach Bliley Act (501)",
+    "USC 1681",
+    "TILA [226]",
+    "Fair Credit Reporting Act [section 611]",
+    "a ** b (REDACTED) c [removed] d",
+    "paid XXXX to Xxxx",
+    "§1692 and § 12",
+    "well - known",
+    "title 12 U.S.C. 2605",
+    "part 1006.14b rule",
+    "cost 1,50 now",
+)
+
+
+@query("clean_planted")
+def clean_planted(spark: SparkSession, sf: str) -> DataFrame:
+    phrase = F.get(F.array(*[F.lit(p) for p in PLANTED]), F.pmod("sample_id", F.lit(len(PLANTED))).cast("int"))
+    longer = _texts(spark, sf).withColumn(
+        TEXT, F.concat_ws(" ", F.coalesce(TEXT, F.lit("")), F.lit(PLANTED_MARK), phrase)
+    )
+    ending = F.substring_index(C.clean_v2(TEXT), f"{PLANTED_MARK} ", -1)
+    return longer.select("sample_id", ending.alias("ending"))
+
+
 @query("surrogate_id")
 def surrogate_id(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.surrogate_id(

@@ -99,6 +99,28 @@ ORACLES["clean_v1"] = f"SELECT doc_id AS sample_id, {_clean('text', C.rules_v1()
 ORACLES["clean_conversations"] = (
     f"SELECT conv_id, turn, {_clean('text', C.rules_v2(), True)} AS text_clean FROM conversations"
 )
+# Written out by hand, in the order of the phrases: nothing of the rules is used here.
+_ENDINGS = (
+    "fdcpa_809",
+    "tila_226",
+    "the ecoa",
+    "respa_6",
+    "hipaa",
+    "glba_501",
+    "us_code_1681",
+    "tila_226",
+    "fcra_611",
+    "a b c d",
+    "paid to",
+    "section_1692 and section_12",
+    "well-known",
+    "us_code_12_2605",
+    "part_1006.14b rule",
+    "cost [num] now",
+)
+ORACLES["clean_planted"] = f"""
+SELECT doc_id AS sample_id, ([{_quoted(_ENDINGS)}])[CAST(doc_id % {len(_ENDINGS)} + 1 AS INTEGER)] AS ending
+FROM documents"""
 ORACLES["surrogate_id"] = """
 SELECT doc_id, lang, row_number() OVER (ORDER BY md5('25:' || doc_id), doc_id) - 1 AS sample_id FROM documents"""
 ORACLES["coalesce_text"] = """
