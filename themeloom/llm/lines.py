@@ -133,8 +133,13 @@ def word_simhashes(lines: list[bytes]) -> np.ndarray:
     words = _mixed(words & np.uint64((1 << 48) - 1))
     first = np.searchsorted(line, np.arange(len(lines), dtype=np.uint64))
     bits = np.unpackbits(words.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    counts = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     sizes = np.diff(np.append(first, len(words)))
+    # Eight counts of a byte each are added as one number, 255 words at most.
+    pieces = -(-sizes // 255)
+    piece = np.cumsum(pieces) - pieces
+    starts = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(piece, pieces))
+    partial = np.add.reduceat(bits.view(np.uint64), starts, axis=0).view(np.uint8)
+    counts = np.add.reduceat(partial, piece, axis=0, dtype=np.int32)
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
