@@ -83,3 +83,30 @@ def test_edit_distance():
 def test_simhash_of_many_lines_is_that_of_each():
     lines = [b"a", b"b c d", b"x" * 200, b"b c d e f g h i j k", "été et".encode()]
     assert L.word_simhashes(lines).tolist() == [int(L.word_simhashes([x])[0]) for x in lines]
+
+
+def test_recall_of_edit_similar_pairs():
+    # Against all pairs, without band keys and SimHashes; lines from 20 characters on.
+    draw = random.Random(12)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 9))) for _ in range(300)]
+    lines = []
+    for size in (4, 8, 12, 20, 40):
+        for _ in range(60):
+            line = draw.choices(words, k=size)
+            lines.append(" ".join(line))
+            for at in draw.sample(range(size), max(size // 10, 1)):
+                line[at] = draw.choice(words)
+            lines.append(" ".join(line))
+    lines = sorted(set(lines), key=len)
+    data = [x.encode() for x in lines]
+    keys, sims = [set(k) for k in L.line_bands(data)], L.word_simhashes(data)
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j) if 5 * len(lines[i]) >= 4 * len(lines[j]) and L.similar(lines[i], lines[j])]
+    found = [keys[i] & keys[j] and (int(sims[i]) ^ int(sims[j])).bit_count() <= L.RADIUS for i, j in pairs]
+    assert len(pairs) > 180
+    assert sum(map(bool, found)) >= 0.95 * len(pairs)
+
+
+def test_changed_words_are_linked(table):
+    rows = [(1, "the quick brown fox jumps over the lazy dog today"), (2, "the quick brown cat jumps over the lazy dog today"), (3, "nothing of this is like the others")]
+    found = L.deduplicate_lines(table(rows, DOCS)).collect()
+    assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 1, 3: 0}

@@ -1,11 +1,13 @@
-"""Fuzzy duplicate lines: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy duplicate lines: min-hash bands, SimHash, edit similarity, connected groups.
 
-Two lines are linked if the SimHashes of their different words differ in at most RADIUS
-bits and their edit similarity is at least 0.8, both on the normalised line
-(lower case, single spaces). Of each connected group the first occurrence stays.
+Two lines are linked if their edit similarity is at least 0.8 on the normalised line
+(lower case, single spaces). Candidates share one of the band keys of their character
+n-grams and have SimHashes within RADIUS bits; the bands and the radius are chosen so
+that few similar pairs are missed (the README gives the recall). Of each connected
+group the first occurrence stays.
 
 Lines are known by a hash of 128 bits and their place; text is only fetched for
-lines that have a SimHash partner. Occurrences of equal lines are folded in the
+lines that have a candidate. Occurrences of equal lines are folded in the
 map tasks, so a line that most documents share costs one row per task. The runs
 of documents are told which of their lines are first occurrences and drop the
 others; texts are never shuffled.
@@ -21,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeloom.llm import simhash
+from themeloom.llm import minhash, simhash
 from themeloom.llm.components import components
 from themeloom.llm.runs import bucketed, pack, row_arrays
 from themeloom.plans.lineage import cut
 
-RADIUS = 3
-BLOCKS = 5
+RADIUS = 24
+SHORT, SHORT_GRAM, LONG_GRAM = 75, 4, 6
+BANDS = 24
 TILE = 2048
+PART_BYTES = 1 << 22
 POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
 
@@ -111,38 +115,55 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def word_simhashes(lines: list[bytes]) -> np.ndarray:
-    """Majority bits of the hashes of the different words of each (normalised, non-empty) line.
+def gram_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``n`` bytes from each byte of the (non-empty) lines, and where each line starts.
 
-    For up to 65,536 lines at a time.
+    A line ends in a margin of line feeds, so it has as many n-grams as bytes.
     """
-    data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-    space = (data == 32) | (data == 10)
-    stops = np.flatnonzero(space)
-    starts = np.concatenate([[0], stops[:-1] + 1])
-    sizes = np.diff(np.append(starts, len(data)))
-    at = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
-    values = (data.astype(np.uint64) + np.uint64(1)) * POWERS[at & 63]
-    values[space] = 0
-    words = np.add.reduceat(values, starts)
-    # Each word once: a mark that fills half of a line must not decide alone. One
-    # number holds the line and 48 bits of the word.
-    line = np.searchsorted(np.flatnonzero(data == 10), starts).astype(np.uint64)
-    words = np.unique(line << np.uint64(48) | _mixed(words) >> np.uint64(16))
-    line = words >> np.uint64(48)
-    words = _mixed(words & np.uint64((1 << 48) - 1))
-    first = np.searchsorted(line, np.arange(len(lines), dtype=np.uint64))
-    bits = np.unpackbits(words.astype(">u8").view(np.uint8)).reshape(-1, 64)
-    sizes = np.diff(np.append(first, len(words)))
-    # Eight counts of a byte each are added as one number, 255 words at most.
+    data = np.frombuffer(b"".join(x + b"\n" * (n - 1) for x in lines), np.uint8)
+    size = len(data) - n + 1
+    values = np.zeros(size, np.uint64)
+    for i in range(n):
+        values += (data[i : i + size].astype(np.uint64) + np.uint64(1)) * POWERS[i]
+    sizes = np.array([len(x) for x in lines])
+    return _mixed(values[data[:size] != 10]), np.cumsum(sizes) - sizes
+
+
+def word_simhashes(lines: list[bytes]) -> np.ndarray:
+    """Majority bits of the hashes of the character n-grams of each (normalised, non-empty) line."""
+    hashes, first = gram_hashes(lines, SHORT_GRAM)
+    sizes = np.diff(np.append(first, len(hashes)))
+    # Eight counts of a byte each are added as one number, 255 n-grams at most.
     pieces = -(-sizes // 255)
     piece = np.cumsum(pieces) - pieces
     starts = np.repeat(first, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(piece, pieces))
-    partial = np.add.reduceat(bits.view(np.uint64), starts, axis=0).view(np.uint8)
+    partial = np.empty((len(starts), 64), np.uint8)
+    for s in range(0, len(starts), 1024):
+        some = starts[s : s + 1024]
+        end = starts[s + 1024] if s + 1024 < len(starts) else len(hashes)
+        bits = np.unpackbits(hashes[some[0] : end].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        partial[s : s + 1024] = np.add.reduceat(bits.view(np.uint64), some - some[0], axis=0).view(np.uint8)
     counts = np.add.reduceat(partial, piece, axis=0, dtype=np.int32)
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def line_bands(lines: list[bytes]) -> list[list[int]]:
+    """The band keys of each line; lines of edit similarity 0.8 almost always share one.
+
+    Lines of up to SHORT bytes have keys of short n-grams and lines of at least
+    four fifths of that keys of long ones: two similar lines have one kind in common.
+    """
+    sizes = np.array([len(x) for x in lines])
+    keys: list[list[int]] = [[] for _ in lines]
+    for n, rows, chosen in ((SHORT_GRAM, 3, sizes <= SHORT), (LONG_GRAM, 4, sizes >= SHORT * 4 // 5)):
+        some = np.flatnonzero(chosen)
+        if len(some):
+            found = minhash.band_keys(*gram_hashes([lines[i] for i in some], n), BANDS, rows)
+            for i, own in zip(some.tolist(), found.tolist(), strict=True):
+                keys[i] += own
+    return keys
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     for factor in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
         x = (x ^ (x >> np.uint64(32))) * np.uint64(factor)
@@ -157,11 +178,11 @@ def _documents(batch, i: int) -> Iterator[tuple[int, list[str]]]:
         start = end
 
 
-LINE = "la long, lb long, sim long, id long, run long, doc int, line int"
+LINE = "la long, lb long, sim long, bands array<long>, id long, run long, doc int, line int"
 
 
 def line_rows(runs: DataFrame) -> DataFrame:
-    """``(la, lb, sim, id, run, doc, line)``: the first occurrence in its run of each non-blank line."""
+    """``(la, lb, sim, bands, id, run, doc, line)``: the first occurrence in its run of each non-blank line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,18 +203,28 @@ def _first_lines(batch, i: int) -> Iterator[pa.RecordBatch]:
                 place = (ids[doc], doc, number)
                 if seen.setdefault(plain, place) > place:
                     seen[plain] = place
-    every = list(seen)
-    for s in range(0, len(every), 8192):
-        part = every[s : s + 8192]
+    for part in _parts(list(seen)):
         keys = np.frombuffer(b"".join(hashlib.md5(x).digest() for x in part), np.int64).reshape(-1, 2)
         id_, doc, number = np.array([seen[x] for x in part], np.int64).T
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(word_simhashes(part).view(np.int64)), pa.array(id_),
-             pa.array(np.full(len(part), name, np.int64)), pa.array(doc.astype(np.int32)), pa.array(number.astype(np.int32))],
-            ["la", "lb", "sim", "id", "run", "doc", "line"],
+            [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(word_simhashes(part).view(np.int64)), pa.array(line_bands(part), pa.list_(pa.int64())),
+             pa.array(id_), pa.array(np.full(len(part), name, np.int64)), pa.array(doc.astype(np.int32)), pa.array(number.astype(np.int32))],
+            ["la", "lb", "sim", "bands", "id", "run", "doc", "line"],
         )
 
 
+def _parts(lines: list[bytes]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for line in lines:
+        part.append(line)
+        size += len(line)
+        if len(part) == 8192 or size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _texts(table: pa.Table, side: pa.Table) -> pa.Table:
     """The normalised lines that the side table asks for."""
     wanted = {(r["doc"], r["line"]): r for r in side.to_pylist()}
@@ -211,10 +242,44 @@ def _texts(table: pa.Table, side: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["la", "lb", "sim", "text"])
 
 
+def _close_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with another row of their unit within RADIUS bits; units may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        units = table.column(0).to_numpy()
+        last = int(np.flatnonzero(units != units[-1])[-1]) + 1 if units[0] != units[-1] else 0
+        if last:
+            yield table.slice(0, last).filter(pa.array(_has_close(table.slice(0, last))))
+        held = [table.slice(last)]
+    for table in held:
+        yield table.filter(pa.array(_has_close(table)))
+
+
+def _has_close(table: pa.RecordBatch) -> np.ndarray:
+    units, sims = table.column(0).to_numpy(), table.column(3).to_numpy().view(np.uint64)
+    near = np.zeros(len(units), bool)
+    for by in range(1, SKIMMED):
+        same = np.flatnonzero(units[by:] == units[:-by])
+        same = same[np.bitwise_count(sims[same + by] ^ sims[same]) <= RADIUS]
+        near[same] = near[same + by] = True
+    starts = np.concatenate([[0], np.flatnonzero(units[1:] != units[:-1]) + 1])
+    ends = np.append(starts[1:], len(units))
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        for i in range(s, e) if e - s > SKIMMED else ():
+            if not near[i]:
+                near[i] = np.count_nonzero(np.bitwise_count(sims[s:e] ^ sims[i]) <= RADIUS) > 1
+    return near
+
+
+SKIMMED = 8  # rows of the largest unit whose pairs are compared a whole batch at once
+
+
 def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    masks = simhash.table_masks(BLOCKS, RADIUS)
     for rows in _units(batches):
-        found = similar_links(rows, masks)
+        found = similar_links(rows)
         if found:
             ends = [[{"la": rows[k][0], "lb": rows[k][1]} for k in side] for side in zip(*found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(e, NODE) for e in ends], ["src", "dst"])
@@ -237,35 +302,34 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield list(held.values())
 
 
-def similar_links(rows: list[tuple], masks: list[int]) -> list[tuple[int, int]]:
-    """Pairs that connect the linked lines (la, lb, sim, text, table, own, diagonal), a tree per group.
+def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs that connect the linked lines (la, lb, sim, text, mine, diagonal), a tree per group.
 
-    A pair is only looked at in the first table whose blocks it shares and, of
-    the tiles of a large unit, where its two tiles meet: once in all.
+    Of the tiles of a large unit a pair is only looked at where its two tiles
+    meet. What the SimHashes, lengths and letters leave is decided by edits.
     """
-    planes = simhash.BitPlanes(np.array([r[2] for r in rows], np.int64).view(np.uint64))
-    before, diagonal = masks[: rows[0][4]], rows[0][6]
-    unseen, links = planes.full, []
-    while unseen:
-        start = (unseen & -unseen).bit_length() - 1
-        unseen ^= 1 << start
-        queue = [start]
-        while queue and unseen:
+    sims = np.array([r[2] for r in rows], np.int64).view(np.uint64)
+    sizes, tiles = np.array([len(r[3]) for r in rows]), np.array([r[4] for r in rows])
+    letters = np.array([np.bincount(np.frombuffer(r[3].encode("utf-32-le"), np.uint32) & 31, minlength=32) for r in rows])
+    unseen, links = np.ones(len(rows), bool), []
+    for start in range(len(rows)):
+        queue = [start] if unseen[start] else []
+        unseen[start] = False
+        while queue:
             lane = queue.pop()
-            one = rows[lane]
-            near = planes.within(lane, RADIUS, unseen)
-            while near:
-                low = near & -near
-                near ^= low
-                found = low.bit_length() - 1
-                other = rows[found]
-                differ = one[2] ^ other[2]
-                if any(not differ & m for m in before) or not diagonal and one[5] == other[5]:
-                    continue
-                if similar(one[3], other[3]):
-                    unseen ^= low
-                    links.append((lane, found))
-                    queue.append(found)
+            near = unseen & (np.bitwise_count(sims ^ sims[lane]) <= RADIUS)
+            if not rows[lane][5]:
+                near &= tiles != tiles[lane]
+            near = np.flatnonzero(near)
+            # Each edit takes at most one letter away and adds at most one.
+            more = letters[near] - letters[lane]
+            edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+            near = near[5 * edits <= np.maximum(sizes[near], sizes[lane])]
+            for other in near.tolist():
+                if similar(rows[lane][3], rows[other][3]):
+                    unseen[other] = False
+                    links.append((lane, other))
+                    queue.append(other)
     return links
 
 
@@ -297,19 +361,23 @@ def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text")
     runs = bucketed(pack(docs, key, text), parts)
     place = F.struct("id", "run", "doc", "line")
     lines = cut(
-        line_rows(runs).groupBy("la", "lb").agg(F.min(place).alias("place"), F.first("sim").alias("sim"))
-    )
-    sims = cut(lines.groupBy("sim").agg(F.count(F.lit(1)).alias("n")))
-    near = simhash.links(sims.select(F.col("sim").alias("fp")), RADIUS, BLOCKS, 4 * TILE, skim=True)
-    near = near.select(F.explode(F.array("src", "dst")).alias("sim"))
-    partners = cut(near.unionByName(sims.where("n > 1").select("sim")).distinct())
-    asked = lines.join(partners, "sim", "left_semi").select("la", "lb", "sim", "place.run", "place.doc", "place.line")
+        line_rows(runs).groupBy("la", "lb")
+        .agg(F.min(place).alias("place"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
+    )
+    units = minhash.dealt(lines.select("la", "lb", "sim", "bands"), "bands", F.struct("la", "lb"), TILE)
+    close = cut(
+        units.select("unit", "la", "lb", "sim", "mine", "diagonal")
+        .repartition("unit").sortWithinPartitions("unit")
+        .mapInArrow(_close_rows, "unit long, la long, lb long, sim long, mine int, diagonal boolean")
+    )
+    asked = lines.join(close.select("la", "lb").distinct(), ["la", "lb"], "left_semi")
+    asked = asked.select("la", "lb", "sim", "place.run", "place.doc", "place.line")
     texts = cut(
         runs.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(_texts, "la long, lb long, sim long, text string")
     )
-    units = simhash.dealt(texts, "sim", RADIUS, BLOCKS, TILE)
     links = (
-        units.repartition("unit").sortWithinPartitions("unit", "la", "lb").select("unit", "la", "lb", "sim", "text", "table", "own", "diagonal")
+        close.drop("sim").join(texts, ["la", "lb"])
+        .repartition("unit").sortWithinPartitions("unit", "la", "lb").select("unit", "la", "lb", "sim", "text", "mine", "diagonal")
         .mapInArrow(_unit_links, "src struct<la:long,lb:long>, dst struct<la:long,lb:long>")
     )
     roots = components(links)
