@@ -93,3 +93,20 @@ def test_shortage_goes_to_siblings_first(table):
 def test_empty(table):
     assert mixing.mix(table([], DOCS), OPTIONS).count() == 0
     assert mixing.mix(table([(1, None, None, None)], DOCS), OPTIONS).count() == 0
+
+
+def test_stage_cuts_the_last_document(spark):
+    import corpus_pipeline
+
+    rows = [(i, f" \tone{i}  two\nthree " + "w " * (i % 37), "en", f"src{i % 3}", 0) for i in range(60)]
+    docs = spark.createDataFrame([(*r[:4], len(r[1])) for r in rows], DOCS + ", n_chars long")
+    expected = {}
+    for *_, source, _, _, take in plain_mix([r[:4] for r in rows], corpus_pipeline.MIX):
+        expected[source] = expected.get(source, 0) + take
+    found, whole = {}, {r[0]: r[1] for r in rows}
+    left = corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    for r in left:
+        found[r.source] = found.get(r.source, 0) + len(r.text.split())
+        assert whole[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
+    assert found == expected
+    assert any(r.text != whole[r.doc_id] for r in left)

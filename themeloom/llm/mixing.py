@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from themeloom.functions.hashing import hex_number, seeded_hash
-from themeloom.llm.common import word_count
+from themeloom.llm.common import SPACE_RUN, SPACES, word_count
 from themeloom.plans.lineage import cut
 
 NULL_NODE = "(null)"
@@ -208,6 +208,22 @@ def mix(
     return taken.unionByName(ending)
 
 
+def first_words(text: Column, number: Column) -> Column:
+    """The text up to the end of its first ``number`` words, with the white space between them."""
+    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # words with what follows them
+    lead = F.substring(text, 1, 1).isin(*SPACES).cast("int")
+    return F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), (number + lead).cast("int")), ""), SPACE_RUN + r"\z", "")
+
+
+def taken_rows(mixed: DataFrame, columns: list[str], text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The ``columns`` of the documents of ``mix``; a text taken in part ends with its last word taken."""
+    part = F.col("take_tokens") < F.col("n_tokens")
+    cut_text = F.when(part, first_words(F.col("row")[text], F.col("take_tokens"))).otherwise(F.col("row")[text])
+    rows = mixed.select("row", part.alias("part"), cut_text.alias("cut_text"))
+    made = {text: F.col("cut_text"), size: F.when(F.col("part"), F.length("cut_text").cast("long")).otherwise(F.col("row")[size])}
+    return rows.select(*[(made[c] if c in made else F.col("row")[c]).alias(c) for c in columns])
+
+
 def _digest(options: MixOptions) -> Column:
     """The document's place in its leaf's last epoch; each epoch has an order of its own."""
     return seeded_hash(
