@@ -57,4 +57,4 @@ def test_same_rows_as_sql(spark, name):
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert {*QUERIES, "pipeline"} <= names
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(i) for i in range(1, 14)}

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, chat, exact, language, lines, mixing, simhash, suffixes, syncmers, warc
+from themeloom.llm import bpe, chat, exact, language, lines, mixing, periodic, simhash, suffixes, syncmers, warc
+from themeloom.llm.common import SPACE_RUN, bound_to, text_or_empty
 from themeloom.plans.lineage import scratch_path
 from themeloom.sources.tables import read_table
 
@@ -112,3 +113,42 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     found = lines.deduplicate_lines(read_table(spark, sf, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; about a tenth of the texts, chosen by key, repeat a piece of themselves to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        moved = F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")),
+        )
+        return F.when(n > 0, F.array_join(moved, " ")).otherwise(F.lit(""))
+
+    words = F.filter(F.split(text_or_empty("text"), SPACE_RUN), lambda w: w != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, bound_to(words, planted)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periods(read_table(spark, sf, "documents")))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    ).cast("struct<length:long,start:long,period:long>")
+    best = found.withColumn("best", longest)
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("best.length * 1000 div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

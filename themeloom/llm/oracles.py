@@ -94,3 +94,50 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN keeper IS NULL OR page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> keeper THEN keeper END AS refers_to
 FROM payloads LEFT JOIN keepers USING (html)"""
+
+# CRC-32 of the decimal digits of doc_id, bytewise by a table that is computed in place.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t)"""
+
+
+def _crc32(codes: str) -> str:
+    """``codes`` is a list of byte values."""
+    step = "lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])"
+    return f"xor(list_reduce({codes}, {step}, 4294967295::BIGINT), 4294967295)"
+
+
+_KEY_CODES = "list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1)))"
+
+ORACLES["op11_periodic"] = rf"""
+WITH {_CRC_TABLE},
+hashed AS (
+  SELECT doc_id, w, len(w) AS n, {_crc32(_KEY_CODES)} AS h
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), crc_table),
+placed AS (
+  SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS r FROM hashed),
+planted AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n),
+    lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // r) END]) END AS w FROM placed),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM planted)),
+shifts AS (  -- the six words from i on are those from i + d on
+  SELECT x.doc_id, x.i, y.i - x.i AS d FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+islands AS (
+  SELECT doc_id, d, min(i) AS "start", count(*) + 5 AS common
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS island FROM shifts) GROUP BY doc_id, d, island),
+runs AS MATERIALIZED (  -- of the periods of one stretch the smallest
+  SELECT doc_id, "start", d + common AS length, min(d) AS period
+  FROM islands WHERE d <= common AND d + common >= 12 GROUP BY doc_id, "start", d + common),
+described AS (
+  SELECT doc_id, count(*) AS n_runs, min(struct_pack(l := -length, s := "start", p := period)) AS best,
+    string_agg("start" || ',' || length || ',' || period || chr(10), '' ORDER BY "start", period) AS listed
+  FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, unnest(range("start" + period, "start" + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM planted) ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS "start", -best.l AS length, best.p AS period,
+  -best.l * 1000 // best.p AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM planted LEFT JOIN described USING (doc_id) LEFT JOIN kept USING (doc_id)"""
