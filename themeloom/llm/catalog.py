@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, chat, exact, language, lines, mixing, periodic, simhash, suffixes, syncmers, warc
+from themeloom.llm import bpe, chat, exact, language, lines, mixing, periodic, sharding, simhash, suffixes, syncmers, warc
 from themeloom.llm.common import SPACE_RUN, bound_to, text_or_empty
 from themeloom.plans.lineage import scratch_path
 from themeloom.sources.tables import read_table
@@ -152,3 +152,18 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    dealt = sharding.shuffle_into_shards(read_table(spark, sf, "documents"))
+    text = text_or_empty(F.col("row.text"))
+    return dealt.select(
+        F.col("row.doc_id").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
