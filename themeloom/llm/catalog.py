@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeloom.llm import bpe, chat, exact, language, lines, mixing, periodic, sharding, simhash, suffixes, syncmers, warc
+from themeloom.llm import bpe, chat, exact, language, lines, mixing, periodic, ranked, sharding, simhash, suffixes, syncmers, warc
 from themeloom.llm.common import SPACE_RUN, bound_to, text_or_empty
 from themeloom.plans.lineage import scratch_path
 from themeloom.sources.tables import read_table
@@ -154,6 +154,12 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op12_ranked")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    index = ranked.build_index(read_table(spark, sf, "documents"))
+    return ranked.search(index, read_table(spark, sf, "benchmark"))
+
+
 @query("op13_sharding")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     dealt = sharding.shuffle_into_shards(read_table(spark, sf, "documents"))
