@@ -50,10 +50,9 @@ FIRST_STEP = 8  # positions read of each list in the first step; steps double
 
 @dataclass(frozen=True)
 class Index:
-    """``segments``, ``terms`` (term, df), and the numbers of documents with terms and of all their terms."""
+    """``segments``, and the numbers of documents with terms and of all their terms."""
 
     segments: DataFrame
-    terms: DataFrame
     documents: int
     occurrences: int
 
@@ -109,9 +108,14 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     rows = docs.select(F.col(key), F.encode(text_or_empty(text), "UTF-8").alias("_bytes"))
     segments = cut(rows.mapInArrow(run, SEGMENT.format(key=kind)))
     total = segments.agg(F.sum("documents"), F.sum("occurrences")).first()
-    each = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t")).select("t.terms", "t.dfs")
-    terms = cut(each.groupBy(F.col("terms").alias("term")).agg(F.sum("dfs").alias("df")))
-    return Index(segments, terms, total[0] or 0, total[1] or 0)
+    return Index(segments, total[0] or 0, total[1] or 0)
+
+
+def frequencies(index: Index, terms: DataFrame) -> DataFrame:
+    """``(term, df)`` of the distinct ``terms`` (term) that documents hold; only theirs are shuffled."""
+    each = index.segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("t"))
+    held = each.select(F.col("t.terms").alias("term"), F.col("t.dfs").alias("df"))
+    return held.join(terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 SEGMENT = (
@@ -238,14 +242,13 @@ def search(
     numbered = cut(item_terms(items.select(F.col(item_key).alias("item"), F.col(item_text).alias("words")), "words")
                    .select(F.monotonically_increasing_id().alias("at"), "item", "terms"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n + 2) / (2 * F.col("df") + 1)))
-    asked = (
+    asked = cut(
         numbered.select("at", F.explode("terms").alias("term"))
         .groupBy("at", F.encode("term", "UTF-8").alias("term"))
         .agg(F.count(F.lit(1)).alias("repeats"))
-        .join(index.terms, "term")
-        .select("at", "term", "repeats", weight.alias("weight"))
     )
-    wanted = cut(asked)
+    weights = cut(frequencies(index, cut(asked.select("term").distinct())).select("term", weight.alias("weight")))
+    wanted = cut(asked.join(weights, "term"))
     size = wanted.agg(F.sum(F.octet_length("term") + 40)).first()[0] or 0
     rounds = -(-size // ITEM_BYTES)
     part = F.pmod(F.xxhash64("at"), F.lit(max(rounds, 1)))
@@ -253,11 +256,12 @@ def search(
     for number in range(rounds):
         # ITEM_BYTES of terms on average, whatever the number of items.
         asked_now: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
-        weights: dict[bytes, int] = {}
-        for at, term, repeats, w in wanted.where(part == number).toLocalIterator():
+        weight_of: dict[bytes, int] = {}
+        chosen = wanted.where(part == number).select("at", "term", "repeats", "weight")
+        for at, term, repeats, w in chosen.toLocalIterator():
             asked_now[at].append((bytes(term), repeats))
-            weights[bytes(term)] = w
-        best = _search_segments(index.segments, dict(asked_now), weights, k, n, total, kind)
+            weight_of[bytes(term)] = w
+        best = _search_segments(index.segments, dict(asked_now), weight_of, k, n, total, kind)
         found = best if found is None else found.unionByName(best)
     if found is None:
         found = index.segments.sparkSession.createDataFrame([], f"at long, k {kind}, score long")
