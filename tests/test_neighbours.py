@@ -109,7 +109,7 @@ def test_levels_find_separated_groups(spark):
     rng = np.random.default_rng(4)
     centres = [(0, 0), (5, 0), (0, 5)]
     points = np.concatenate([rng.normal(c, 0.2, (30, 2)) for c in centres] + [[[20.0, 20.0]]])
-    options = ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=0.0, levels=12)
+    options = ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=0.0)
     out = density.hdbscan_levels(table(spark, points), "id", "v", options, block_rows=40)
     topic = {r["id"]: r["topic"] for r in out.collect()}
     blocks = [{topic[i] for i in range(30 * b, 30 * b + 30)} - {-1} for b in range(3)]
@@ -120,8 +120,8 @@ def test_levels_find_separated_groups(spark):
 def test_epsilon_keeps_near_groups_together(spark):
     rng = np.random.default_rng(5)
     points = np.concatenate([rng.normal(c, 0.1, (30, 2)) for c in [(0, 0), (1, 0), (50, 50), (51, 50)]])
-    near = ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=0.0, levels=12)
-    far = ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=2.0, levels=12)
+    near = ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=0.0)
+    far = ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=2.0)
     count = lambda o: len({r["topic"] for r in density.hdbscan_levels(table(spark, points), "id", "v", o).collect()} - {-1})
     assert count(near) == 4
     assert count(far) == 2

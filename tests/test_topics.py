@@ -81,7 +81,7 @@ def test_model_from_given_vectors(spark):
     options = TopicOptions(
         components=3,
         vocabulary=VocabularyOptions(ngram_max=1, min_df=1, max_df=1.0),
-        clusters=ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=0.1, levels=8),
+        clusters=ClusterOptions(min_samples=3, min_cluster_size=10, epsilon=0.1),
     )
     fitted = model.fit_topics(df, "id", "text", options, vectors=df, outlier_strategy="c-tf-idf")
     info = {r["topic"]: r for r in fitted.info.collect()}

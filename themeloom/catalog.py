@@ -49,7 +49,7 @@ UNIGRAMS = VocabularyOptions(ngram_max=1, min_df=1, max_df=1.0)
 BIGRAMS = VocabularyOptions(ngram_max=2, min_df=4, max_df=0.85, max_features=40_000)
 NEIGHBOURS = 25
 FUZZY_NEIGHBOURS = 15
-CLUSTERS = ClusterOptions(min_samples=3, min_cluster_size=3, epsilon=1.1, levels=12)
+CLUSTERS = ClusterOptions(min_samples=3, min_cluster_size=3, epsilon=1.1)
 PROJECTION = (64, 12, 24)
 DIMENSIONS = 64
 CHUNK_TOKENS = 128
@@ -755,7 +755,7 @@ FIT = TopicOptions(
     dimensions=64,
     components=12,
     vocabulary=VocabularyOptions(ngram_max=2, min_df=4, max_df=0.85),
-    clusters=ClusterOptions(min_samples=5, min_cluster_size=15, epsilon=0.05, levels=12),
+    clusters=ClusterOptions(min_samples=5, min_cluster_size=15, epsilon=0.05),
 )
 
 

@@ -39,7 +39,6 @@ class ClusterOptions:
     min_samples: int = 20
     min_cluster_size: int = 80
     epsilon: float = 0.2
-    levels: int = 16
 
 
 @dataclass(frozen=True)

@@ -437,9 +437,7 @@ ORACLES["density_components"] = _with(
 ) + f"""
 SELECT node AS id, CASE WHEN n >= {Q.CLUSTERS.min_cluster_size} THEN label ELSE -1 END AS component FROM sized"""
 # Prim's tree: the state is the list of rows outside the tree, each with its least edge.
-ORACLES["mst_edges"] = _with(
-    *_CORE,
-    _REACH,
+_PRIM = (
     """adjacent AS MATERIALIZED (SELECT src, list({'w': w, 'lo': least(src, dst), 'hi': greatest(src, dst), 'node': dst}
          ORDER BY dst) AS edges FROM reach GROUP BY src)""",
     "start AS (SELECT min(src) AS s FROM adjacent)",
@@ -452,8 +450,67 @@ ORACLES["mst_edges"] = _with(
        FROM (SELECT p.best, list_min(p.best) AS pick FROM prim p WHERE len(p.best) > 0)
        JOIN (SELECT src, map_from_entries(list_transform(edges, lambda x: {'k': x.node, 'v': x})) AS e FROM adjacent)
          ON src = pick.node)""",
-    recursive=True,
-) + "SELECT pick.lo AS src, pick.hi AS dst, round(pick.w, 6) AS w FROM prim WHERE pick IS NOT NULL"
+)
+ORACLES["mst_edges"] = (
+    _with(*_CORE, _REACH, *_PRIM, recursive=True)
+    + "SELECT pick.lo AS src, pick.hi AS dst, round(pick.w, 6) AS w FROM prim WHERE pick IS NOT NULL"
+)
+# The hierarchy: one merge a step, of which the last step of each weight is a level.
+_HIERARCHY = (
+    "tree AS MATERIALIZED (SELECT pick.lo AS lo, pick.hi AS hi, pick.w AS w FROM prim WHERE pick IS NOT NULL)",
+    "numbered AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM vecs)",
+    """ordered AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w, lo, hi) AS k, w, a.pos AS a, b.pos AS b
+       FROM tree JOIN numbered a ON a.id = lo JOIN numbered b ON b.id = hi)""",
+    """merging AS (
+       SELECT 0::BIGINT AS k, (SELECT list(pos ORDER BY pos) FROM numbered) AS labels
+       UNION ALL
+       SELECT o.k, list_transform(labels, lambda l: CASE WHEN l = greatest(labels[a], labels[b])
+                THEN least(labels[a], labels[b]) ELSE l END) FROM merging m JOIN ordered o ON o.k = m.k + 1)""",
+    "heights AS (SELECT row_number() OVER (ORDER BY w) AS level, w, max(k) AS k FROM ordered GROUP BY w)",
+    "floor AS (SELECT coalesce(min(w) FILTER (w > 0), 1) / 2 AS f FROM tree)",
+    """placed AS MATERIALIZED (SELECT level, w, unnest(labels) AS rep, unnest(range(1, len(labels) + 1)) AS pos
+       FROM merging JOIN heights USING (k))""",
+    f"""large AS MATERIALIZED (SELECT level, w, rep, count(*) AS n FROM placed GROUP BY ALL
+       HAVING count(*) >= {Q.CLUSTERS.min_cluster_size})""",
+    """linked AS MATERIALIZED (SELECT c.level, c.rep, c.n, c.w, p.rep AS up
+       FROM large c LEFT JOIN placed p ON p.level = c.level + 1 AND p.pos = c.rep)""",
+    """merged AS MATERIALIZED (SELECT l.level, l.rep, l.n, l.w, l.up, count(c.rep) AS n_large, coalesce(sum(c.n), 0) AS held,
+         min(c.rep) AS only
+       FROM linked l LEFT JOIN linked c ON c.level = l.level - 1 AND c.up = l.rep GROUP BY ALL)""",
+    """named AS (  -- a cluster has the name of the component it starts with
+       SELECT level, rep, up, rep AS c_rep, n AS c_n FROM merged WHERE n_large <> 1
+       UNION ALL
+       SELECT m.level, m.rep, m.up, c_rep, c_n FROM named x JOIN merged m ON m.level = x.level + 1 AND m.rep = x.up
+       WHERE m.n_large = 1)""",
+    """summed AS (SELECT c_rep, c_n, sum((CASE WHEN n_large = 1 THEN n - held ELSE n END) / greatest(w, f)) AS lam,
+         coalesce(max(w) FILTER (n_large > 1), -1) AS split
+       FROM named JOIN merged USING (level, rep), floor GROUP BY ALL)""",
+    """born AS (SELECT x.c_rep, x.c_n, c.n AS size, p.w AS birth, p.rep AS p_rep, p.n AS p_n
+       FROM named x JOIN merged c USING (level, rep) JOIN merged p ON p.level = c.level + 1 AND p.rep = c.up WHERE p.n_large > 1)""",
+    """clusters AS MATERIALIZED (SELECT row_number() OVER (ORDER BY split, c_rep, c_n) AS i, c_rep, c_n, split, size, p_rep, p_n,
+         lam - size / greatest(birth, f) AS own FROM summed LEFT JOIN born USING (c_rep, c_n), floor)""",
+    """kin AS MATERIALIZED (SELECT c.i, c.own, c.split, c.size, c.c_rep, c.c_n, p.i AS parent
+       FROM clusters c LEFT JOIN clusters p ON p.c_rep = c.p_rep AND p.c_n = c.p_n)""",
+    """weighed AS (  -- from the leaves up; the state is the best choice below each cluster
+       SELECT 0::BIGINT AS i, (SELECT list_transform(list(i), lambda x: 0.0::DOUBLE) FROM kin) AS inside, false AS keeps
+       UNION ALL
+       SELECT i, list_transform(inside, lambda x, nr: CASE WHEN nr <> coalesce(parent, 0) THEN x
+                WHEN own >= below * (1 - 1e-9) THEN x + own ELSE x + below END), coalesce(own >= below * (1 - 1e-9), false)
+       FROM (SELECT k.*, x.inside, x.inside[k.i] AS below FROM weighed x JOIN kin k ON k.i = x.i + 1))""",
+    f"""labelled AS (
+       SELECT i, NULL::BIGINT AS label FROM kin WHERE parent IS NULL
+       UNION ALL
+       SELECT k.i, coalesce(label, CASE WHEN keeps OR split <= {Q.CLUSTERS.epsilon} THEN k.i END)
+       FROM labelled l JOIN kin k ON k.parent = l.i JOIN weighed w ON w.i = k.i)""",
+    """topics AS (SELECT c_rep, c_n, t.topic FROM labelled JOIN kin USING (i) JOIN (
+       SELECT i AS label, row_number() OVER (ORDER BY size DESC, c_rep, c_n) - 1 AS topic FROM kin
+       WHERE i IN (SELECT label FROM labelled)) t USING (label))""",
+    """entered AS MATERIALIZED (SELECT id, min(level) AS level FROM placed JOIN large USING (level, rep) JOIN numbered USING (pos) GROUP BY id)""",
+    """dropped AS MATERIALIZED (SELECT id, level, w AS height, c_rep, c_n FROM entered JOIN numbered USING (id)
+       JOIN placed USING (level, pos) JOIN named USING (level, rep))""",
+)
+ORACLES["hdbscan_levels"] = _with(*_CORE, _REACH, *_PRIM, *_HIERARCHY, recursive=True) + """
+SELECT id, coalesce(topic, -1)::INTEGER AS topic FROM vecs LEFT JOIN dropped USING (id) LEFT JOIN topics USING (c_rep, c_n)"""
 
 CENTROIDS = """centroids AS (SELECT topic, list(x ORDER BY dim) AS c FROM (
     SELECT topic, dim, avg(v[dim]) AS x FROM given, range(1, 65) AS r(dim) WHERE topic <> -1 GROUP BY topic, dim)
