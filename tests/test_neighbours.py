@@ -88,11 +88,12 @@ def test_golden_density_groups(spark):
     assert sorted(r["w"] for r in tree) == [1, 1, 1, 1, 8, 38]
 
 
-def test_components_of_a_long_chain_and_a_star(spark):
+@pytest.mark.parametrize("unit_edges", [0, 30, 1000])
+def test_components_of_a_long_chain_and_a_star(spark, unit_edges):
     chain = [(i, i + 1, float(i)) for i in range(60)]
     star = [(1000, 1001 + i, 1.0) for i in range(60)]
     edges = spark.createDataFrame(chain + star, "src long, dst long, w double").repartition(5)
-    tree, labels = forest.spanning_forest(edges)
+    tree, labels = forest.spanning_forest(edges, unit_edges)
     assert tree.count() == 120
     groups = {}
     for r in labels.collect():
