@@ -13,6 +13,7 @@ from themeloom.functions import tokens as K
 from themeloom.operators import (
     density,
     embeddings,
+    membership,
     model,
     neighbours,
     outliers,
@@ -642,6 +643,14 @@ def hdbscan_levels(spark: SparkSession, sf: str) -> DataFrame:
     return density.hdbscan_levels(vectors(spark, sf), "vec_id", "embedding", CLUSTERS)
 
 
+@query("membership_vectors")
+def membership_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cut(vectors(spark, sf))
+    found, chosen = density.hierarchy_of(rows, "vec_id", "embedding", CLUSTERS)
+    shares = membership.membership_vectors(rows, "vec_id", "embedding", found, chosen)
+    return shares.select("id", "topic", _r("membership").alias("membership"))
+
+
 @query("topic_probabilities")
 def topic_probabilities(spark: SparkSession, sf: str) -> DataFrame:
     return topics.topic_probabilities(topic_vectors(spark, sf), "vec_id", "embedding").select(
