@@ -1,7 +1,6 @@
 """Held-out accuracy and the filter's own answers."""
 
 import numpy as np
-import pandas as pd
 
 from themeloom.llm import language
 
@@ -48,17 +47,67 @@ def test_odd_rows(table):
     assert nothing[0].lang_pred == "und"
 
 
+def plain_model(model, texts):
+    """The model's answers from sets of grams that pass the filter, looked up one by one."""
+    size = model.masks.shape[1]
+
+    def holds(number, code):
+        row, bit = model.masks[number // language.BITS], 1 << number % language.BITS
+        code ^= code >> 15
+        return all(int(row[(code * int(m) & 0xFFFFFFFF) >> (33 - size.bit_length())]) & bit for m in language.MULTIPLIERS)
+
+    out = []
+    for text in texts:
+        data = b"  " + text.lower().encode() + b"  "
+        grams = [int.from_bytes(data[i : i + 4], "big") for i in range(len(data) - 3)]
+        share = []
+        for number in range(len(model.languages)):
+            noise = model.noise[number]
+            share.append(max(sum(holds(number, g) for g in grams) / len(grams) - noise, 0) / (1 - noise))
+        if not any(share):
+            out.append((model.languages[model.fallback], 0.0, 0.0))
+            continue
+        best = share.index(max(share))
+        out.append((model.languages[best], share[best] / sum(share), share[best]))
+    return out
+
+
+def test_same_as_plain_dictionaries(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.fit(docs.where(~language.held_out("doc_id")), "doc_id", "text", "lang", language.LanguageOptions())
+    texts = [r.text for r in docs.where("length(text) between 1 and 600").limit(120).collect()] + ["ж ж", "日本", "x"]
+    for text, expected in zip(texts, plain_model(model, texts), strict=True):
+        found = model.predict(text)
+        assert found[0] == expected[0] and np.allclose(found[1:], expected[1:])
+
+
 def test_filter_returns_every_language_of_a_gram():
-    masks = np.zeros(1 << 12, np.int8)
-    for number, text in enumerate(("shared alpha", "shared beta")):
-        for slot in language.slots(language.gram_codes(text), len(masks)):
-            masks[slot] |= np.int8(1 << number)
-    model = language.LanguageModel(["a", "b"], masks, np.zeros(2), 0)
-    for text, expected in (("shared", 3), ("alpha", 1), ("beta", 2)):
-        hits = np.full(len(language.gram_codes(text)), ~0, np.int8)
-        for slot in language.slots(language.gram_codes(text), len(masks)):
-            hits &= masks[slot]
-        inner = hits[2:-2] if text == "shared" else hits[2:]
-        assert (inner & expected == expected).all()
-    assert model.predict("alpha") == ("a", 1.0)
-    assert isinstance(pd.DataFrame([model.predict("beta")]), pd.DataFrame)
+    """More languages than a row of slots has bits."""
+    names = [f"l{i:02}" for i in range(80)]
+    masks = np.zeros((-(-80 // language.BITS), 1 << 14), np.int8)
+    texts = [f"shared {chr(97 + i % 26) * 3}{i:02}" for i in range(80)]
+    for number, text in enumerate(texts):
+        for slot in language.slots(language.gram_codes(text), masks.shape[1]):
+            masks[number // language.BITS][slot] |= np.int8(1 << number % language.BITS)
+    model = language.LanguageModel(names, masks, np.zeros(80), 0)
+    assert model.hits(language.gram_codes("shared")[2:4]).all()
+    for number, text in enumerate(texts):
+        assert model.hits(language.gram_codes(text))[number].all()
+        assert model.predict(text)[0] == names[number]
+
+
+def test_many_languages(spark):
+    rows = [(i, f"{chr(0x4E00 + 40 * (i % 70))}{chr(0x4E01 + 40 * (i % 70))} " * 5, f"l{i % 70:02}") for i in range(700)]
+    found = language.identify(spark.createDataFrame(rows, DOCS)).select("lang", "_language.p.*").collect()
+    assert all(r.lang == r.lang_pred and r.trusted for r in found)
+
+
+def test_trusted(spark):
+    """Clean texts of every learnt language stay; foreign scripts, noise and code go."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = ["Съешь же ещё этих мягких французских булок, да выпей чаю", "いろはにほへと ちりぬるを", "xqzkv bgrtp wqxzj kkjvv " * 5,
+           "for (i = 0; i < n; ++i) { x[i] += y[j] * 2; }\n" * 8, "12 34", "", None]
+    extra = spark.createDataFrame([(10_000_000 + i, t, None) for i, t in enumerate(odd)], DOCS)
+    found = language.identify(docs.unionByName(extra)).select("doc_id", "text", "_language.p.trusted").collect()
+    assert not any(r.trusted for r in found if r.doc_id >= 10_000_000)
+    assert all(r.trusted for r in found if r.doc_id < 10_000_000)

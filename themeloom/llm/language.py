@@ -7,7 +7,7 @@ n-grams, after taking off what the filter answers by chance.
 """
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,8 @@ from themeloom.plans.lineage import cut
 
 GRAM = 4
 UNDETERMINED = "und"
+LETTER = r"\p{L}"
+BITS = 7  # languages per row of slots
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)  # odd, one per slot
 
 
@@ -33,6 +35,10 @@ class LanguageOptions:
     of each, and a language holds an n-gram only if its rate is at least
     ``shared`` of the highest rate of any language. ``slot_bits`` fixes the size
     of the filter.
+
+    A text is trusted to be in a learnt language if the share of its n-grams that
+    its language holds is at least ``slack`` of the share that all but a
+    thousandth of the sample reach.
     """
 
     sample_docs: int = 4000
@@ -40,35 +46,43 @@ class LanguageOptions:
     shared: float = 0.25
     slot_bits: int = 20
     seed: int = 5
+    slack: float = 0.5
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """``masks``: the filter, a bit per language; ``noise``: chance of a false hit per language."""
+    """The filter: ``masks`` has rows of slots, a bit per language in as many rows as it takes.
+
+    ``noise`` is the chance of a false hit per language, ``least_known`` the share
+    of known n-grams from which a text is trusted.
+    """
 
     languages: list[str]
     masks: np.ndarray
     noise: np.ndarray
     fallback: int
+    least_known: float = 0.0
 
-    def predict(self, text: str) -> tuple[str, float]:
+    def predict(self, text: str) -> tuple[str, float, float]:
+        """Language, score, and the share of n-grams that the language holds."""
         if not self.languages:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0.0
         codes = gram_codes(text)
         if not len(codes):
-            return self.languages[self.fallback], 0.0
-        hits = np.full(len(codes), ~0, self.masks.dtype)
-        for slot in slots(codes, len(self.masks)):
-            hits &= self.masks[slot]
-        share = np.array([np.count_nonzero(hits & bit) for bit in self.bits()]) / len(codes)
+            return self.languages[self.fallback], 0.0, 0.0
+        share = self.hits(codes).sum(1) / len(codes)
         share = np.maximum(share - self.noise, 0) / (1 - self.noise)
         if not share.any():
-            return self.languages[self.fallback], 0.0
+            return self.languages[self.fallback], 0.0, 0.0
         best = int(share.argmax())
-        return self.languages[best], float(share[best] / share.sum())
+        return self.languages[best], float(share[best] / share.sum()), float(share[best])
 
-    def bits(self) -> np.ndarray:
-        return np.left_shift(np.ones(1, self.masks.dtype), np.arange(len(self.languages), dtype=self.masks.dtype))
+    def hits(self, codes: np.ndarray) -> np.ndarray:
+        """For every language whether the filter holds each n-gram."""
+        places = list(slots(codes, self.masks.shape[1]))
+        found = [np.bitwise_and.reduce([row[slot] for slot in places]) for row in self.masks]
+        kind = self.masks.dtype.type
+        return np.array([found[i // BITS] & kind(1 << i % BITS) != 0 for i in range(len(self.languages))])
 
 
 def gram_codes(text: str) -> np.ndarray:
@@ -121,36 +135,42 @@ def fit(docs: DataFrame, key: str, text: str, lang: str, options: LanguageOption
     chosen = grams.select("l", "gram").toPandas()
     known = {r.l: r.rows for r in counts.collect()}
     languages = sorted(known)
-    if len(languages) > 63:
-        raise ValueError("a slot has room for 63 languages")
-    kind = np.int8 if len(languages) < 8 else np.int64
-    masks = np.zeros(1 << options.slot_bits, kind)
+    masks = np.zeros((-(-len(languages) // BITS), 1 << options.slot_bits), np.int8)
+    noise = np.zeros(len(languages))
     for number, name in enumerate(languages):
-        codes = chosen.gram[chosen.l == name].to_numpy(np.uint32)
-        for slot in slots(codes, len(masks)):
-            masks[slot] |= kind(1 << number)
-    bits = [kind(1 << i) for i in range(len(languages))]
-    noise = np.array([np.count_nonzero(masks & b) / len(masks) for b in bits]) ** len(MULTIPLIERS)
+        row, bit = masks[number // BITS], np.int8(1 << number % BITS)
+        for slot in slots(chosen.gram[chosen.l == name].to_numpy(np.uint32), len(row)):
+            row[slot] |= bit
+        noise[number] = (np.count_nonzero(row & bit) / len(row)) ** len(MULTIPLIERS)
     fallback = max(range(len(languages)), key=lambda i: known[languages[i]], default=0)
-    return LanguageModel(languages, masks, noise, fallback)
+    model = LanguageModel(languages, masks, noise, fallback)
+    shares = sample.where(F.col("t").rlike(LETTER)).select(predicted(docs.sparkSession, model, "t")["known"].alias("known"))
+    usual = shares.agg(F.percentile_approx("known", 0.001, 10_000)).first()[0] or 0.0
+    return replace(model, least_known=options.slack * usual)
 
 
 def predicted(spark: SparkSession, model: LanguageModel, text: str | Column) -> Column:
-    """Struct of ``lang_pred`` and ``score`` for whole texts.
+    """Struct of ``lang_pred``, ``score``, ``known`` and ``trusted`` for whole texts.
 
     ``und`` with score 0 for null texts and texts without a letter; a text of
     which no n-gram is known gets the language of most training rows, score 0.
+    ``known`` is the share of n-grams that the language holds; ``und`` and what
+    has less than the model's least share is not trusted.
     """
-    shared = spark.sparkContext.broadcast(model)  # fixed size: slot_bits
+    # Arrays and names of a fixed size; executors need no class to read them.
+    plain = (model.languages, model.masks, model.noise, model.fallback, model.least_known)
+    shared = spark.sparkContext.broadcast(plain)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, known double, trusted boolean")
     def run(texts: pd.Series) -> pd.DataFrame:
-        found = [shared.value.predict(t) if t is not None else (UNDETERMINED, 0.0) for t in texts]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+        held = LanguageModel(*shared.value)
+        found = [held.predict(t) if t is not None else (UNDETERMINED, 0.0, 0.0) for t in texts]
+        rows = [(*r, r[0] != UNDETERMINED and r[2] >= held.least_known and r[2] > 0) for r in found]
+        return pd.DataFrame(rows, columns=["lang_pred", "score", "known", "trusted"])
 
     column = F.col(text) if isinstance(text, str) else text
     # Texts without a letter are told apart in the JVM.
-    return run(F.when(column.rlike(r"\p{L}"), column))
+    return run(F.when(column.rlike(LETTER), column))
 
 
 def held_out(key: str) -> Column:
@@ -162,7 +182,7 @@ def identify(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
     options: LanguageOptions = LanguageOptions(),
 ) -> DataFrame:
-    """``docs`` with ``held_out``, ``lang_pred`` and ``score`` in a struct ``_language``.
+    """``docs`` with ``held_out`` and the prediction ``p`` in a struct ``_language`` (which replaces a column so named).
 
     Learns from the rows outside the held-out fold and predicts all rows, from
     their text alone. Repeated rows are predicted alike; an empty table learns
