@@ -32,6 +32,16 @@ def test_round_trip(spark, table):
     assert found == sorted(expected, key=str)
 
 
+def test_archives_are_read_side_by_side(spark):
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(sha2(string(id), 256), 40) AS html").repartition(4)
+    folder, options = scratch_path(spark, "warc"), warc.ArchiveOptions(archive_bytes=100_000)
+    manifest = warc.write_archives(warc.with_revisits(pages, options), folder, options)
+    archives = manifest.count()
+    assert archives >= 4
+    tasks = {r.t for r in warc.read_archives(manifest).selectExpr("spark_partition_id() AS t").distinct().collect()}
+    assert len(tasks) == min(archives, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def test_empty(spark, table):
     assert round_trip(spark, table([], PAGES)) == []
 

@@ -4,8 +4,9 @@ A directory of 2^G pointers maps the leading hash bits to buckets. Each bucket
 owns a range of hashes; one that would hold more than ``capacity`` distinct
 hashes is split by one bit more, doubling its part of the directory, until it
 fits or the directory is at its full depth (then it chains on). Owner tasks each
-take a range of buckets and keep the entries of equal hash as a chain. All of it
-is DataFrame functions.
+take a range of buckets, keep the entries of equal hash as a chain, and compare
+their bytes: that decides which texts are equal. All of it is DataFrame
+functions.
 """
 
 from __future__ import annotations
@@ -23,9 +24,12 @@ START_DEPTH = 4
 FULL_DEPTH = 16  # 65,536 pointers at most: a fixed bound of about 1 MB, whatever the data
 
 
+SALTS = 16  # entries of equal text that may come to its owner
+
+
 @dataclass(frozen=True)
 class ExactIndex:
-    """``entries``: (bucket, h, chain, sha, keep_id, group_size); ``slots``: (row id, h, sha)."""
+    """``entries``: (bucket, h, chain, sha, keep_id, group_size); ``slots``: (at, k, h, sha), a row per document."""
 
     directory: DataFrame
     entries: DataFrame
@@ -72,27 +76,35 @@ def build_index(
 ) -> ExactIndex:
     """The index of all rows of ``docs``, on files in the shared folder.
 
-    The texts move once, grouped by their own bytes: map tasks fold copies
-    together first, so a text with a third of all rows is one row per task, and
-    the owners compare bytes, not hashes. Equal hashes of different texts make a
-    chain of several entries.
+    Map tasks fold copies into at most SALTS entries per text and task, and
+    these into SALTS per text, so a text with a third of all rows comes to its
+    owner a few times only. The directory routes the entries, with their texts,
+    to the owners of their bucket's key range. There the entries of one hash are
+    a chain in order of their bytes; where the bytes differ from the entry
+    before, another text begins, so texts whose hashes collide stay apart.
     """
     plain = docs.select(F.col(key).alias("k"), normalised(text).alias("norm"))
     slots = cut(
-        plain.select("k", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"))
+        plain.select(
+            F.monotonically_increasing_id().alias("at"), "k", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha")
+        )
     )
     pointers = cut(directory(slots.select("h").distinct(), capacity))
-    equal = (
-        plain.groupBy("norm")
-        .agg(F.min("k").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select(F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
+    folded = plain.groupBy("norm", F.pmod(F.xxhash64("k"), F.lit(SALTS)).alias("salt")).agg(
+        F.min("k").alias("keep_id"), F.count(F.lit(1)).alias("n")
+    )
+    hashed = folded.withColumn("h", F.xxhash64("norm")).withColumn("slot", _slot("h"))
+    routed = hashed.join(F.broadcast(pointers.select("slot", "bucket")), "slot").repartitionByRange("bucket", "h")
+    same_hash = W.partitionBy("bucket", "h").orderBy("norm", "salt")
+    begins = F.when(F.lag("norm").over(same_hash) == F.col("norm"), 0).otherwise(1)
+    chained = (
+        routed.withColumn("begins", begins)
+        .withColumn("chain", F.sum("begins").over(same_hash.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        .withColumn("sha", F.sha2("norm", 256))
     )
-    placed = equal.withColumn("slot", _slot("h")).join(
-        F.broadcast(pointers.select("slot", "bucket")), "slot"
+    entries = cut(
+        chained.groupBy("bucket", "h", "chain", "sha").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     )
-    owned = placed.repartitionByRange("bucket", "h")
-    chained = owned.withColumn("chain", F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha")))
-    entries = cut(chained.select("bucket", "h", "chain", "sha", "keep_id", "group_size"))
     return ExactIndex(pointers, entries, slots)
 
 
@@ -101,20 +113,39 @@ def exact_duplicates(
 ) -> DataFrame:
     """``(key, keep_id, group_size, kept, text_sha256)``, one row per row of ``docs``.
 
-    Of equal texts the row with the smallest key stays. Null text counts as
-    empty. A null key never wins over another; a group with null keys only has a
-    null ``keep_id`` and all its rows stay. Rows that repeat both key and text
-    are one document: all of them are kept or none, and each has a row. Other
-    columns are not looked at; an empty table gives an empty result.
+    Of equal texts exactly one row stays, that with the smallest key; of rows that
+    repeat both key and text any one. Null text counts as empty. A null key never
+    wins over another; of a group with null keys only one row stays, and its
+    ``keep_id`` is null. Other columns are not looked at; an empty table gives an
+    empty result.
     """
     index = build_index(docs, key, text, capacity)
-    entries = index.entries.select(F.col("h").alias("_h"), F.col("sha").alias("_sha"), "keep_id", "group_size")
+    first = F.min(F.struct(F.col("k").isNull().alias("unknown"), "k", "at"))["at"]
+    stays = index.slots.groupBy("h", "sha").agg(first.alias("stays"))
+    entries = index.entries.select("h", "sha", "keep_id", "group_size").join(stays, ["h", "sha"])
+    entries = cut(entries).select(F.col("h").alias("_h"), F.col("sha").alias("_sha"), "keep_id", "group_size", "stays")
     return index.slots.join(
         entries, (F.col("h") == F.col("_h")) & (F.col("sha") == F.col("_sha"))
     ).select(
         F.col("k").alias(key),
         "keep_id",
         "group_size",
-        F.col("k").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("at") == F.col("stays")).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
+
+
+def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 100_000) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay: one of each group of equal texts."""
+    kept = exact_duplicates(docs, key, text, capacity).where("kept")
+    kept = cut(kept.select(F.col(key).alias("_k"), F.col("text_sha256").alias("_sha")))
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(normalised(text), 256).alias("sha"), F.col(key).alias("k"))
+    same = F.col("k").eqNullSafe(F.col("_k")) & (F.col("sha") == F.col("_sha"))
+    chosen = rows.join(kept, same, "left_semi")
+    repeated = cut(rows.select("k", "sha").join(kept, same, "left_semi").groupBy("k", "sha").count().where("count > 1"))
+    if not repeated.isEmpty():  # rows that repeat key and text: any one of them
+        again = repeated.select(F.col("k").alias("_k"), F.col("sha").alias("_sha"))
+        chosen = chosen.join(again, same, "left_anti").unionByName(
+            chosen.join(again, same, "left_semi").dropDuplicates(["k", "sha"])
+        )
+    return chosen.select("row.*")

@@ -199,7 +199,9 @@ def read_archives(manifest: DataFrame, chunk: int = 1 << 20) -> DataFrame:
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    spread = manifest.select("path").repartition("path")
+    # Rows that are only paths would be coalesced into one task without a number.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = manifest.select("path").repartitionByRange(max(1, min(manifest.count(), tasks)), "path")
     return spread.mapInArrow(
         run,
         "page_id long, url string, record_type string, refers_to long, payload_digest string, "
