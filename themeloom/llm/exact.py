@@ -137,14 +137,15 @@ def exact_duplicates(
 
 def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 100_000) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay: one of each group of equal texts."""
-    kept = exact_duplicates(docs, key, text, capacity).where("kept")
-    kept = cut(kept.select(F.col(key).alias("_k"), F.col("text_sha256").alias("_sha")))
+    found = exact_duplicates(docs, key, text, capacity)
+    found = cut(found.select(F.col(key).alias("_k"), F.col("text_sha256").alias("_sha"), "keep_id", "kept"))
+    kept = found.where("kept").select("_k", "_sha")
     rows = docs.select(F.struct("*").alias("row"), F.sha2(normalised(text), 256).alias("sha"), F.col(key).alias("k"))
     same = F.col("k").eqNullSafe(F.col("_k")) & (F.col("sha") == F.col("_sha"))
     chosen = rows.join(kept, same, "left_semi")
-    repeated = cut(rows.select("k", "sha").join(kept, same, "left_semi").groupBy("k", "sha").count().where("count > 1"))
-    if not repeated.isEmpty():  # rows that repeat key and text: any one of them
-        again = repeated.select(F.col("k").alias("_k"), F.col("sha").alias("_sha"))
+    least = found.where(F.col("_k").eqNullSafe(F.col("keep_id")))
+    again = cut(least.groupBy("_k", "_sha").count().where("count > 1").select("_k", "_sha"))
+    if not again.isEmpty():  # rows that repeat key and text: any one of them
         chosen = chosen.join(again, same, "left_anti").unionByName(
             chosen.join(again, same, "left_semi").dropDuplicates(["k", "sha"])
         )
