@@ -542,10 +542,10 @@ def _weights(relation: str, name: str = "") -> list[str]:
     """CTEs ``tt``, ``idf`` and ``weights`` for documents with topics."""
     return [
         *_terms(Q.UNIGRAMS, relation, "sample_id, topic, date_received", "consumer_complaint_narrative"),
-        "tt AS (SELECT topic, term, count(*) AS tf FROM terms GROUP BY ALL)",
+        "tt AS MATERIALIZED (SELECT topic, term, count(*) AS tf FROM terms GROUP BY ALL)",
         "average AS (SELECT sum(tf) / count(DISTINCT topic)::DOUBLE AS a FROM tt)",
-        "idf AS (SELECT term, ln(1 + a / sum(tf)) AS idf FROM tt, average GROUP BY term, a)",
-        """weights AS (SELECT topic, term, tf / sum(tf) OVER (PARTITION BY topic)::DOUBLE * idf AS weight
+        "idf AS MATERIALIZED (SELECT term, ln(1 + a / sum(tf)) AS idf FROM tt, average GROUP BY term, a)",
+        """weights AS MATERIALIZED (SELECT topic, term, tf / sum(tf) OVER (PARTITION BY topic)::DOUBLE * idf AS weight
            FROM tt JOIN idf USING (term))""",
         "ranked_words AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM weights)",
         "doc_sizes AS (SELECT topic, count(*) AS n_docs FROM " + relation + " WHERE topic <> -1 GROUP BY topic)",
@@ -596,7 +596,7 @@ _LENGTHS = [
 ]
 _MOVED = [
     *_LENGTHS,
-    "dt AS (SELECT sample_id, term, count(*) * any_value(idf) AS w FROM terms JOIN idf USING (term) WHERE topic = -1 GROUP BY ALL)",
+    "dt AS MATERIALIZED (SELECT sample_id, term, count(*) * any_value(idf) AS w FROM terms JOIN idf USING (term) WHERE topic = -1 GROUP BY ALL)",
     "doc_length AS (SELECT sample_id, sqrt(sum(w * w)) AS l FROM dt GROUP BY sample_id)",
     """cosines AS (SELECT sample_id, t.topic, sum(w * weight) / any_value(d.l * t.l) AS score
        FROM dt JOIN weights x USING (term) JOIN topic_length t ON t.topic = x.topic JOIN doc_length d USING (sample_id) GROUP BY ALL)""",
@@ -610,9 +610,10 @@ ORACLES["reduce_outliers_distributions"] = _with(
     *_LENGTHS,
     """runs AS (SELECT sample_id, pos, unnest(t[pos:pos + 3]) AS term FROM (
          SELECT sample_id, t, unnest(range(1, greatest(len(t) - 3, 1) + 1)) AS pos FROM toks WHERE topic = -1))""",
-    "rt AS (SELECT sample_id, pos, term, count(*) * any_value(idf) AS w FROM runs JOIN idf USING (term) GROUP BY ALL)",
+    "rt AS MATERIALIZED (SELECT sample_id, pos, term, count(*) * any_value(idf) AS w FROM runs JOIN idf USING (term) GROUP BY ALL)",
     "run_length AS (SELECT sample_id, pos, sqrt(sum(w * w)) AS l FROM rt GROUP BY ALL)",
-    """sims AS (SELECT sample_id, x.topic, sum(w * weight / (t.l * r.l)) AS s FROM rt JOIN run_length r USING (sample_id, pos)
+    "summed AS MATERIALIZED (SELECT sample_id, term, sum(w / l) AS w FROM rt JOIN run_length USING (sample_id, pos) GROUP BY ALL)",
+    """sims AS (SELECT sample_id, x.topic, sum(w * weight) / any_value(t.l) AS s FROM summed
        JOIN weights x USING (term) JOIN topic_length t ON t.topic = x.topic GROUP BY ALL)""",
     "shares AS (SELECT sample_id, topic, s / sum(s) OVER (PARTITION BY sample_id) AS score FROM sims)",
     """moved AS (SELECT sample_id, topic AS new_topic FROM (SELECT *, row_number() OVER (
