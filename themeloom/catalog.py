@@ -12,6 +12,7 @@ from themeloom.functions import names as N
 from themeloom.functions import tokens as K
 from themeloom.operators import (
     density,
+    descent,
     embeddings,
     membership,
     model,
@@ -598,6 +599,14 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("src", "dst", "rank", _r("similarity").alias("similarity"))
 
 
+@query("knn_descent")
+def knn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    found = neighbours.nearest_neighbours(
+        vectors(spark, sf), "vec_id", "embedding", NEIGHBOURS, "cosine", search=descent.descend
+    )
+    return found.select("src", "dst", "rank", _r("similarity").alias("similarity"))
+
+
 @query("fuzzy_graph")
 def fuzzy_graph(spark: SparkSession, sf: str) -> DataFrame:
     found = neighbours.nearest_neighbours(
