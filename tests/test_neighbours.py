@@ -138,5 +138,6 @@ def test_tree_without_far_pairs_of_blocks(spark):
     members = density.cut(density._block_trees(blocks, cores))
     n = members.count()
     assert density._bridgeable(members).count() < n * (n - 1) // 2
+    assert density._bridgeable(members, 0.2).count() < density._bridgeable(members).count()
     tree = density.spanning_tree(df, "id", "v", 3, block_rows=8)
     assert {(r["src"], r["dst"], round(r["w"], 9)) for r in tree.collect()} == tree_of(line, 3)
