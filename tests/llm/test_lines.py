@@ -27,10 +27,12 @@ def plain(rows):
             if L.normalised(line):
                 first.setdefault(L.normalised(line), (key, n))
     every = list(first)
-    sims = np.concatenate([L.word_simhashes([x.encode()]) for x in every])
+    sims = [int(L.word_simhashes([x.encode()])[0]) for x in every]
     label = list(range(len(every)))
     for i, a in enumerate(every):
-        for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= L.RADIUS).tolist():
+        for j in range(i):
+            if (sims[j] ^ sims[i]).bit_count() > L.RADIUS and max(len(a), len(every[j])) > L.EXACT:
+                continue
             if 5 * distance(a, every[j]) <= max(len(a), len(every[j])) and label[i] != label[j]:
                 old, new = max(label[i], label[j]), min(label[i], label[j])
                 label = [new if x == old else x for x in label]
@@ -99,7 +101,9 @@ def test_recall_of_edit_similar_pairs():
             lines.append(" ".join(line))
     lines = sorted(set(lines), key=len)
     data = [x.encode() for x in lines]
-    keys, sims = [set(k) for k in L.line_bands(data)], L.word_simhashes(data)
+    sims, keys = L.word_simhashes(data), [set() for _ in data]
+    for key, line in zip(*map(np.ndarray.tolist, L.line_keys(data)), strict=True):
+        keys[line].add(key)
     pairs = [(i, j) for j in range(len(lines)) for i in range(j) if 5 * len(lines[i]) >= 4 * len(lines[j]) and L.similar(lines[i], lines[j])]
     found = [keys[i] & keys[j] and (int(sims[i]) ^ int(sims[j])).bit_count() <= L.RADIUS for i, j in pairs]
     assert len(pairs) > 180
@@ -110,3 +114,32 @@ def test_changed_words_are_linked(table):
     rows = [(1, "the quick brown fox jumps over the lazy dog today"), (2, "the quick brown cat jumps over the lazy dog today"), (3, "nothing of this is like the others")]
     found = L.deduplicate_lines(table(rows, DOCS)).collect()
     assert {r.doc_id: r.n_removed for r in found} == {1: 0, 2: 1, 3: 0}
+
+
+def test_short_lines_are_linked_whole(table):
+    # Every pair of up to EXACT characters, found by brute force, shares a key.
+    draw = random.Random(13)
+    lines = set()
+    for size in range(1, L.EXACT + 1):
+        for _ in range(60):
+            line = "".join(draw.choices("abcd é", k=size))
+            lines.add(L.normalised(line))
+            for _ in range(2):
+                edited = list(line)
+                for _ in range(draw.randint(1, max(size // 5, 1))):
+                    at = draw.randrange(len(edited) + 1)
+                    edited[at : at + draw.randint(0, 1)] = draw.choices("abcd é", k=draw.randint(0, 1))
+                lines.add(L.normalised("".join(edited)))
+    lines = sorted(x for x in lines if 0 < len(x) <= L.EXACT)
+    keys = [L.pieces(x) for x in lines]
+    pairs = [(i, j) for j in range(len(lines)) for i in range(j) if L.similar(lines[i], lines[j])]
+    assert len(pairs) > 1000
+    assert all(keys[i] & keys[j] for i, j in pairs)
+
+
+def test_keys_of_one_line_only_make_no_rows(spark, table):
+    rows = [(1, "a line that stands alone in here\nand some line that comes again"), (2, "and some line that comes agaim")]
+    packed = runs.pack(table(rows, DOCS).select("doc_id", "text").repartition(2, "doc_id"), "doc_id", "text").cache()
+    shared = L.shared_keys(L.sent_keys(packed, 2))
+    found = packed.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(lambda t, s: L._shared_lines(t, s, 2), L.LINE)
+    assert sorted((r.id, r.line) for r in found.collect()) == [(1, 1), (2, 0)]

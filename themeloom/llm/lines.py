@@ -1,16 +1,17 @@
-"""Fuzzy duplicate lines: min-hash bands, SimHash, edit similarity, connected groups.
+"""Fuzzy duplicate lines: pigeonhole pieces, min-hash bands, SimHash, edit similarity, connected groups.
 
 Two lines are linked if their edit similarity is at least 0.8 on the normalised line
-(lower case, single spaces). Candidates share one of the band keys of their character
-n-grams and have SimHashes within RADIUS bits; the bands and the radius are chosen so
-that few similar pairs are missed (the README gives the recall). Of each connected
-group the first occurrence stays.
-
-Lines are known by a hash of 128 bits and their place; text is only fetched for
-lines that have a candidate. Occurrences of equal lines are folded in the
-map tasks, so a line that most documents share costs one row per task. The runs
-of documents are told which of their lines are first occurrences and drop the
-others; texts are never shuffled.
+(lower case, single spaces). Lines of up to EXACT characters meet under every
+piece that the pigeonhole principle leaves unedited, so none of their pairs is
+missed. Longer lines share one of the band keys of their character n-grams and
+have SimHashes within RADIUS bits (the README gives the recall). Of each
+connected group the first occurrence stays.
+
+Few lines have a partner. So keys are first sent packed, 6 bytes each, to learn
+which of them belong to several lines; only lines with such keys become rows, with
+these keys alone, known by a hash of 128 bits and their place. Text is fetched for
+lines that have a candidate. The runs of documents are told which lines go; texts
+are never shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,13 @@ from themeloom.llm.runs import bucketed, pack, row_arrays
 from themeloom.plans.lineage import cut
 
 RADIUS = 24
-SHORT, SHORT_GRAM, LONG_GRAM = 75, 4, 6
+EXACT = 19
+SHORT, SHORT_GRAM, LONG_GRAM = 150, 4, 6
+SAMPLED = np.uint64(3)  # of long lines the grams whose hash has these bits clear
 BANDS = 24
 TILE = 2048
 PART_BYTES = 1 << 22
+KEY_PART_BYTES = 1 << 25  # of text, whose keys meet in one task
 POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
 
@@ -147,21 +152,61 @@ def word_simhashes(lines: list[bytes]) -> np.ndarray:
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def line_bands(lines: list[bytes]) -> list[list[int]]:
-    """The band keys of each line; lines of edit similarity 0.8 almost always share one.
+def pieces(line: str) -> set[tuple[int, int, str]]:
+    """What a line of up to EXACT characters shares with each similar one of up to EXACT characters.
 
-    Lines of up to SHORT bytes have keys of short n-grams and lines of at least
-    four fifths of that keys of long ones: two similar lines have one kind in common.
+    The longer line of a pair is cut into one piece more than edits are allowed. One of
+    them is unedited, with no more edits before it than pieces, and likewise after
+    it: that bounds where in the shorter line it stands.
+    """
+    n, found = len(line), set()
+    for longer in range(max(n, 5), EXACT + 1):
+        edits, less = longer // 5, longer - n
+        if less > edits:
+            break
+        for i in range(edits + 1):
+            start, end = longer * i // (edits + 1), longer * (i + 1) // (edits + 1)
+            low = max(start - i, start - less - (edits - i), 0)
+            high = min(start + i, start - less + (edits - i), n - (end - start))
+            found.update((longer, i, line[at : at + end - start]) for at in range(low, high + 1))
+    return found
+
+
+def line_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of the lines, and the number of the line each belongs to; keys of pieces are odd.
+
+    Lines of up to SHORT bytes have band keys of short n-grams and lines of at least
+    four fifths of that of long ones: two similar lines have one kind in common.
     """
     sizes = np.array([len(x) for x in lines])
-    keys: list[list[int]] = [[] for _ in lines]
+    letters, keys, owners = sizes.copy(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(sizes <= 4 * EXACT).tolist():
+        line = lines[i].decode("utf-8", "surrogatepass")
+        letters[i] = len(line)
+        if len(line) <= EXACT:
+            own = [xxhash.xxh64_intdigest(repr(x)) | 1 for x in pieces(line)]
+            keys.append(np.array(own, np.uint64))
+            owners.append(np.full(len(own), i))
+    long = letters >= (EXACT + 1) * 4 // 5
     for n, rows, chosen in ((SHORT_GRAM, 3, sizes <= SHORT), (LONG_GRAM, 4, sizes >= SHORT * 4 // 5)):
-        some = np.flatnonzero(chosen)
+        some = np.flatnonzero(long & chosen)
         if len(some):
-            found = minhash.band_keys(*gram_hashes([lines[i] for i in some], n), BANDS, rows)
-            for i, own in zip(some.tolist(), found.tolist(), strict=True):
-                keys[i] += own
-    return keys
+            hashes, starts = gram_hashes([lines[i] for i in some], n)
+            if n == LONG_GRAM:
+                hashes, starts = _sampled(hashes, starts)
+            found = minhash.band_keys(hashes, starts, BANDS, rows).view(np.uint64) & ~np.uint64(1)
+            keys.append(found.ravel())
+            owners.append(np.repeat(some, BANDS))
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _sampled(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A quarter of the hashes, chosen by value; a line without any of them has all."""
+    kept = (hashes & SAMPLED) == 0
+    sizes = np.diff(np.append(starts, len(hashes)))
+    kept |= np.repeat(np.add.reduceat(kept, starts, dtype=np.int64) == 0, sizes)
+    sizes = np.add.reduceat(kept, starts, dtype=np.int64)
+    return hashes[kept], np.cumsum(sizes) - sizes
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -178,23 +223,9 @@ def _documents(batch, i: int) -> Iterator[tuple[int, list[str]]]:
         start = end
 
 
-LINE = "la long, lb long, sim long, bands array<long>, id long, run long, doc int, line int"
-
-
-def line_rows(runs: DataFrame) -> DataFrame:
-    """``(la, lb, sim, bands, id, run, doc, line)``: the first occurrence in its run of each non-blank line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from _first_lines(batch, i)
-
-    return runs.mapInArrow(run, LINE)
-
-
-def _first_lines(batch, i: int) -> Iterator[pa.RecordBatch]:
+def _first_lines(batch, i: int) -> dict[bytes, tuple[int, int, int]]:
+    """The non-blank lines of a run, normalised, each with its first place ``(id, doc, line)``."""
     ids = row_arrays(batch, i)[2].tolist()
-    name = batch.column("run")[i].as_py()
     seen: dict[bytes, tuple[int, int, int]] = {}
     for doc, lines in _documents(batch, i):
         for number, line in enumerate(lines):
@@ -203,14 +234,128 @@ def _first_lines(batch, i: int) -> Iterator[pa.RecordBatch]:
                 place = (ids[doc], doc, number)
                 if seen.setdefault(plain, place) > place:
                     seen[plain] = place
-    for part in _parts(list(seen)):
-        keys = np.frombuffer(b"".join(hashlib.md5(x).digest() for x in part), np.int64).reshape(-1, 2)
-        id_, doc, number = np.array([seen[x] for x in part], np.int64).T
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(word_simhashes(part).view(np.int64)), pa.array(line_bands(part), pa.list_(pa.int64())),
-             pa.array(id_), pa.array(np.full(len(part), name, np.int64)), pa.array(doc.astype(np.int32)), pa.array(number.astype(np.int32))],
-            ["la", "lb", "sim", "bands", "id", "run", "doc", "line"],
-        )
+    return seen
+
+
+def _names(lines: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.md5(x).digest() for x in lines), np.uint64).reshape(-1, 2)
+
+
+def _all_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    keys, owners, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for part in _parts(lines):
+        key, owner = line_keys(part)
+        keys.append(key)
+        owners.append(owner + before)
+        before += len(part)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def _marks(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The part of each hash (its upper ``bits``) over a mark of 32 bits (its lower ones)."""
+    return (hashes >> np.uint64(64 - bits)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+
+
+def sent_keys(runs: DataFrame, bits: int) -> DataFrame:
+    """``(part, run, marks, checks, names)``: the distinct keys of a run with 16 bits of their line, and its lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                lines = list(_first_lines(batch, i))
+                if not lines:
+                    continue
+                keys, owners = _all_keys(lines)
+                names = _names(lines)
+                marks, checks = _marks(keys, bits), (names[owners, 1] & np.uint64(0xFFFF)).astype(np.uint16)
+                order = np.lexsort((checks, marks))
+                marks, checks = marks[order], checks[order]
+                other = np.append(True, (marks[1:] != marks[:-1]) | (checks[1:] != checks[:-1]))[: len(marks)]
+                marks, checks = marks[other], checks[other]
+                named = np.sort(_marks(names[:, 0], bits))
+                parts = np.unique(np.concatenate([marks, named]) >> np.uint64(32))
+                edges = [np.searchsorted(x >> np.uint64(32), [parts, parts + np.uint64(1)], "left") for x in (marks, named)]
+                short, short_names = marks.astype(np.uint32), named.astype(np.uint32)
+                c = [[], [], []]
+                for s, e, t, f in zip(*edges[0].tolist(), *edges[1].tolist(), strict=True):
+                    c[0].append(short[s:e].tobytes())
+                    c[1].append(checks[s:e].tobytes())
+                    c[2].append(short_names[t:f].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), batch.column("run")[i].as_py(), np.int64)),
+                     *[pa.array(x, pa.binary()) for x in c]],
+                    ["part", "run", "marks", "checks", "names"],
+                )
+
+    return runs.mapInArrow(run, "part long, run long, marks binary, checks binary, names binary")
+
+
+def shared_keys(sent: DataFrame) -> DataFrame:
+    """``(run, part, marks, names)``: of each run the keys that several lines have, and the lines in several runs.
+
+    Two lines whose checks agree as well (1 of 65,536) look like one to a key.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        of = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
+        marks, checks, names = of("marks", np.uint32), of("checks", np.uint16), of("names", np.uint32)
+        pairs = np.unique(np.concatenate(marks).astype(np.uint64) << np.uint64(16) | np.concatenate(checks))
+        several, again = _repeated(pairs >> np.uint64(16)).astype(np.uint32), _repeated(np.sort(np.concatenate(names)))
+        out = {"run": [], "part": [], "marks": [], "names": []}
+        for name, part, own, lines in zip(table.column("run").to_pylist(), table.column("part").to_pylist(), marks, names, strict=True):
+            own, lines = np.unique(own[_among(own, several)]), lines[_among(lines, again)]
+            if len(own) or len(lines):
+                for column, x in zip(out.values(), (name, part, own.tobytes(), lines.tobytes()), strict=True):
+                    column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return sent.groupBy("part").applyInArrow(run, "run long, part long, marks binary, names binary")
+
+
+def _repeated(values: np.ndarray) -> np.ndarray:
+    return np.unique(values[1:][values[1:] == values[:-1]])
+
+
+def _among(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(values), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
+
+
+LINE = "la long, lb long, sim long, bands array<long>, id long, run long, doc int, line int"
+
+
+def _shared_lines(table: pa.Table, side: pa.Table, bits: int) -> pa.Table:
+    """The first occurrence in its run of each line with a shared key or another run that has it."""
+
+    def known(column: str) -> np.ndarray:
+        found = [
+            np.uint64(part) << np.uint64(32) | np.frombuffer(body, np.uint32).astype(np.uint64)
+            for part, body in zip(side.column("part").to_pylist(), side.column(column).to_pylist(), strict=True)
+        ]
+        return np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
+
+    asked = table.num_rows and side.num_rows
+    seen = _first_lines(table, 0) if asked else {}
+    lines = list(seen)
+    keys, owners = _all_keys(lines)
+    own = np.flatnonzero(_among(_marks(keys, bits), known("marks")))
+    own = own[np.argsort(owners[own], kind="stable")]
+    counts = np.bincount(owners[own], minlength=len(lines))
+    names = _names(lines)
+    some = np.flatnonzero((counts > 0) | _among(_marks(names[:, 0], bits), known("names")))
+    offsets = np.append(0, np.cumsum(counts[some])).astype(np.int32)
+    chosen = [lines[i] for i in some.tolist()]
+    sims = np.concatenate([np.zeros(0, np.uint64), *[word_simhashes(x) for x in _parts(chosen)]])
+    id_, doc, number = np.array([seen[x] for x in chosen], np.int64).reshape(-1, 3).T
+    name = table.column("run")[0].as_py() if asked else 0
+    return pa.table(
+        [pa.array(names[some, 0].view(np.int64)), pa.array(names[some, 1].view(np.int64)), pa.array(sims.view(np.int64)),
+         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[own].view(np.int64))), pa.array(id_),
+         pa.array(np.full(len(some), name, np.int64)), pa.array(doc.astype(np.int32)), pa.array(number.astype(np.int32))],
+        names=["la", "lb", "sim", "bands", "id", "run", "doc", "line"],
+    )
 
 
 def _parts(lines: list[bytes]) -> Iterator[list[bytes]]:
@@ -243,7 +388,7 @@ def _texts(table: pa.Table, side: pa.Table) -> pa.Table:
 
 
 def _close_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with another row of their unit within RADIUS bits; units may span batches."""
+    """The rows of pieces and those with another row of their unit within RADIUS bits; units may span batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -260,7 +405,10 @@ def _close_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _has_close(table: pa.RecordBatch) -> np.ndarray:
     units, sims = table.column(0).to_numpy(), table.column(3).to_numpy().view(np.uint64)
-    near = np.zeros(len(units), bool)
+    alone = np.ones(len(units), bool)
+    alone[1:] &= units[1:] != units[:-1]
+    alone[:-1] &= units[1:] != units[:-1]
+    near = table.column(6).to_numpy(zero_copy_only=False) & ~alone
     for by in range(1, SKIMMED):
         same = np.flatnonzero(units[by:] == units[:-by])
         same = same[np.bitwise_count(sims[same + by] ^ sims[same]) <= RADIUS]
@@ -303,7 +451,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs that connect the linked lines (la, lb, sim, text, mine, diagonal), a tree per group.
+    """Pairs that connect the linked lines (la, lb, sim, text, mine, diagonal, exact), a tree per group.
 
     Of the tiles of a large unit a pair is only looked at where its two tiles
     meet. What the SimHashes, lengths and letters leave is decided by edits.
@@ -317,7 +465,7 @@ def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
         unseen[start] = False
         while queue:
             lane = queue.pop()
-            near = unseen & (np.bitwise_count(sims ^ sims[lane]) <= RADIUS)
+            near = unseen & (rows[lane][6] | (np.bitwise_count(sims ^ sims[lane]) <= RADIUS))
             if not rows[lane][5]:
                 near &= tiles != tiles[lane]
             near = np.flatnonzero(near)
@@ -334,12 +482,14 @@ def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
 
 
 def _dropped(table: pa.Table, side: pa.Table) -> pa.Table:
-    kept = set(zip(side.column("doc").to_pylist(), side.column("line").to_pylist(), strict=True))
+    places = list(zip(side.column("doc").to_pylist(), side.column("line").to_pylist(), side.column("kept").to_pylist(), strict=True))
+    gone = {(doc, line) for doc, line, _ in places} - {(doc, line) for doc, line, kept in places if kept}
     out = {"k": [], "n_lines": [], "n_removed": [], "text": []}
     for i in range(table.num_rows):
         keys = row_arrays(table, i)[3]
+        stays = {(doc, line) for _, doc, line in _first_lines(table, i).values()} - gone
         for doc, lines in _documents(table, i):
-            stay = [x for n, x in enumerate(lines) if (doc, n) in kept or not normalised(x)]
+            stay = [x for n, x in enumerate(lines) if (doc, n) in stays or not normalised(x)]
             out["k"].append(keys[doc])
             out["n_lines"].append(len(lines))
             out["n_removed"].append(len(lines) - len(stay))
@@ -359,16 +509,22 @@ def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = bucketed(pack(docs, key, text), parts)
+    size = runs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    bits = max(-(-size // KEY_PART_BYTES), parts).bit_length()
+    shared = cut(shared_keys(sent_keys(runs, bits)))
+    marked = cut(
+        runs.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(lambda t, s: _shared_lines(t, s, bits), LINE)
+    )
     place = F.struct("id", "run", "doc", "line")
     lines = cut(
-        line_rows(runs).groupBy("la", "lb")
+        marked.groupBy("la", "lb")
         .agg(F.min(place).alias("place"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
     )
     units = minhash.dealt(lines.select("la", "lb", "sim", "bands"), "bands", F.struct("la", "lb"), TILE)
     close = cut(
-        units.select("unit", "la", "lb", "sim", "mine", "diagonal")
+        units.select("unit", "la", "lb", "sim", "mine", "diagonal", F.expr("band & 1 = 1").alias("exact"))
         .repartition("unit").sortWithinPartitions("unit")
-        .mapInArrow(_close_rows, "unit long, la long, lb long, sim long, mine int, diagonal boolean")
+        .mapInArrow(_close_rows, "unit long, la long, lb long, sim long, mine int, diagonal boolean, exact boolean")
     )
     asked = lines.join(close.select("la", "lb").distinct(), ["la", "lb"], "left_semi")
     asked = asked.select("la", "lb", "sim", "place.run", "place.doc", "place.line")
@@ -377,15 +533,16 @@ def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text")
     )
     links = (
         close.drop("sim").join(texts, ["la", "lb"])
-        .repartition("unit").sortWithinPartitions("unit", "la", "lb").select("unit", "la", "lb", "sim", "text", "mine", "diagonal")
+        .repartition("unit").sortWithinPartitions("unit", "la", "lb").select("unit", "la", "lb", "sim", "text", "mine", "diagonal", "exact")
         .mapInArrow(_unit_links, "src struct<la:long,lb:long>, dst struct<la:long,lb:long>")
     )
     roots = components(links)
     node = F.struct("la", "lb")
     grouped = lines.select(node.alias("own"), "place").join(roots, F.col("own") == F.col("node"), "left")
     first = grouped.groupBy(F.coalesce("root", "own").alias("group")).agg(F.min("place").alias("place"))
-    kept = cut(first.select("place.run", "place.doc", "place.line"))
-    found = runs.groupBy("run").cogroup(kept.groupBy("run")).applyInArrow(
+    kept = cut(first.select("place.run", "place.doc", "place.line", F.lit(True).alias("kept")))
+    side = marked.select("run", "doc", "line", F.lit(False).alias("kept")).unionByName(kept)
+    found = runs.groupBy("run").cogroup(side.groupBy("run")).applyInArrow(
         _dropped, "k long, n_lines long, n_removed long, text string"
     )
     return found.withColumnRenamed("k", key)

@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeloom.plans.joins import lookup_join
 from themeloom.plans.lineage import cut
 
 _draw = np.random.Generator(np.random.PCG64(20))
@@ -36,20 +37,19 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
 def dealt(rows: DataFrame, keys: str, own: Column, tile: int) -> DataFrame:
     """``rows`` once per unit of comparison, named in ``unit``, with ``band``, ``mine`` and ``diagonal``.
 
-    Keys of one row are left out. A key with more than ``tile`` rows is dealt in
-    tiles by ``own``, and every pair of tiles is a unit, as ``simhash.dealt`` does.
+    A key with more than ``tile`` rows is dealt in tiles by ``own``, and every pair
+    of tiles is a unit, as ``simhash.dealt`` does.
     """
-    keyed = rows.select("*", F.explode(keys).alias("band"))
-    several = cut(
-        keyed.groupBy("band").count().where("count > 1")
-        .select(F.col("band").alias("_band"), F.ceil(F.col("count") / tile).cast("int").alias("_tiles"))
+    keyed = rows.select("*", F.explode(keys).alias("band")).drop(keys)
+    large = cut(
+        keyed.groupBy("band").count().where(F.col("count") > tile)
+        .select("band", F.ceil(F.col("count") / tile).cast("int").alias("_tiles"))
     )
-    tiled = keyed.join(several, F.col("band") == F.col("_band")).withColumn(
-        "mine", F.pmod(F.xxhash64(own), F.col("_tiles")).cast("int")
-    )
+    tiled = lookup_join(keyed, large, ["band"], "left").withColumn("_tiles", F.coalesce("_tiles", F.lit(1)))
+    tiled = tiled.withColumn("mine", F.pmod(F.xxhash64(own), F.col("_tiles")).cast("int"))
     units = tiled.select("*", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
     return units.select(
-        *rows.columns,
+        *[c for c in rows.columns if c != keys],
         F.xxhash64("band", F.least("mine", "_other"), F.greatest("mine", "_other")).alias("unit"),
         "band",
         "mine",
