@@ -10,8 +10,10 @@ connected group the first occurrence stays.
 Few lines have a partner. So keys are first sent packed, 6 bytes each, to learn
 which of them belong to several lines; only lines with such keys become rows, with
 these keys alone, known by a hash of 128 bits and their place. Text is fetched for
-lines that have a candidate. The runs of documents are told which lines go; texts
-are never shuffled.
+lines that have a candidate. An eighth of the keys links most near copies; the
+others only compare lines that are not connected by then, so a pair of close copies
+is not verified once per key. The runs of documents are told which lines go; texts
+of documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ EXACT = 19
 SHORT, SHORT_GRAM, LONG_GRAM = 150, 4, 6
 SAMPLED = np.uint64(3)  # of long lines the grams whose hash has these bits clear
 BANDS = 24
+FIRST = 8  # one of so many keys is compared before the others
 TILE = 2048
 PART_BYTES = 1 << 22
 KEY_PART_BYTES = 1 << 25  # of text, whose keys meet in one task
@@ -388,7 +391,10 @@ def _texts(table: pa.Table, side: pa.Table) -> pa.Table:
 
 
 def _close_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of pieces and those with another row of their unit within RADIUS bits; units may span batches."""
+    """The rows with a row of another class in their unit that may be similar; units may span batches.
+
+    That is any for keys of pieces, and one within RADIUS bits for the others.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -404,21 +410,19 @@ def _close_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _has_close(table: pa.RecordBatch) -> np.ndarray:
-    units, sims = table.column(0).to_numpy(), table.column(3).to_numpy().view(np.uint64)
-    alone = np.ones(len(units), bool)
-    alone[1:] &= units[1:] != units[:-1]
-    alone[:-1] &= units[1:] != units[:-1]
-    near = table.column(6).to_numpy(zero_copy_only=False) & ~alone
+    units, sims, classes = table.column(0).to_numpy(), table.column(3).to_numpy().view(np.uint64), table.column(7).to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero(units[1:] != units[:-1]) + 1])
+    ends = np.append(starts[1:], len(units))
+    mixed = np.repeat(np.minimum.reduceat(classes, starts) < np.maximum.reduceat(classes, starts), ends - starts)
+    near = table.column(6).to_numpy(zero_copy_only=False) & mixed
     for by in range(1, SKIMMED):
-        same = np.flatnonzero(units[by:] == units[:-by])
+        same = np.flatnonzero((units[by:] == units[:-by]) & (classes[by:] != classes[:-by]))
         same = same[np.bitwise_count(sims[same + by] ^ sims[same]) <= RADIUS]
         near[same] = near[same + by] = True
-    starts = np.concatenate([[0], np.flatnonzero(units[1:] != units[:-1]) + 1])
-    ends = np.append(starts[1:], len(units))
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        for i in range(s, e) if e - s > SKIMMED else ():
+        for i in range(s, e) if e - s > SKIMMED and mixed[s] else ():
             if not near[i]:
-                near[i] = np.count_nonzero(np.bitwise_count(sims[s:e] ^ sims[i]) <= RADIUS) > 1
+                near[i] = np.any((np.bitwise_count(sims[s:e] ^ sims[i]) <= RADIUS) & (classes[s:e] != classes[i]))
     return near
 
 
@@ -451,7 +455,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs that connect the linked lines (la, lb, sim, text, mine, diagonal, exact), a tree per group.
+    """Pairs that connect the classes of lines (la, lb, sim, text, mine, diagonal, exact, class), a tree per group.
 
     Of the tiles of a large unit a pair is only looked at where its two tiles
     meet. What the SimHashes, lengths and letters leave is decided by edits.
@@ -459,10 +463,11 @@ def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
     sims = np.array([r[2] for r in rows], np.int64).view(np.uint64)
     sizes, tiles = np.array([len(r[3]) for r in rows]), np.array([r[4] for r in rows])
     letters = np.array([np.bincount(np.frombuffer(r[3].encode("utf-32-le"), np.uint32) & 31, minlength=32) for r in rows])
+    classes = np.array([r[7] for r in rows])
     unseen, links = np.ones(len(rows), bool), []
     for start in range(len(rows)):
-        queue = [start] if unseen[start] else []
-        unseen[start] = False
+        queue = np.flatnonzero(classes == classes[start]).tolist() if unseen[start] else []
+        unseen[queue] = False
         while queue:
             lane = queue.pop()
             near = unseen & (rows[lane][6] | (np.bitwise_count(sims ^ sims[lane]) <= RADIUS))
@@ -474,13 +479,41 @@ def similar_links(rows: list[tuple]) -> list[tuple[int, int]]:
             edits = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
             near = near[5 * edits <= np.maximum(sizes[near], sizes[lane])]
             for other in near.tolist():
-                if similar(rows[lane][3], rows[other][3]):
-                    unseen[other] = False
+                if unseen[other] and similar(rows[lane][3], rows[other][3]):
+                    found = np.flatnonzero(classes == classes[other])
+                    unseen[found] = False
                     links.append((lane, other))
-                    queue.append(other)
+                    queue += found.tolist()
     return links
 
 
+def _links(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` of similar lines ``(la, lb, sim, place, bands, class)`` of two classes with a common key."""
+    units = minhash.dealt(lines.select("la", "lb", "sim", "class", "bands"), "bands", F.struct("la", "lb"), TILE)
+    close = cut(
+        units.select("unit", "la", "lb", "sim", "mine", "diagonal", F.expr("band & 1 = 1").alias("exact"), "class")
+        .repartition("unit").sortWithinPartitions("unit")
+        .mapInArrow(_close_rows, "unit long, la long, lb long, sim long, mine int, diagonal boolean, exact boolean, class long")
+    )
+    asked = lines.join(close.select("la", "lb").distinct(), ["la", "lb"], "left_semi")
+    asked = asked.select("la", "lb", "sim", "place.run", "place.doc", "place.line")
+    texts = cut(
+        runs.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(_texts, "la long, lb long, sim long, text string")
+    )
+    return cut(
+        close.drop("sim").join(texts, ["la", "lb"])
+        .repartition("unit").sortWithinPartitions("unit", "la", "lb")
+        .select("unit", "la", "lb", "sim", "text", "mine", "diagonal", "exact", "class")
+        .mapInArrow(_unit_links, "src struct<la:long,lb:long>, dst struct<la:long,lb:long>")
+    )
+
+
+def _with_class(lines: DataFrame, roots: DataFrame) -> DataFrame:
+    """``lines`` with ``class``, the same for connected lines: the first half of the hash of their root."""
+    known = roots.select("node.la", "node.lb", F.col("root.la").alias("class"))
+    return lines.drop("class").join(known, ["la", "lb"], "left").withColumn("class", F.coalesce("class", "la"))
+
+
 def _dropped(table: pa.Table, side: pa.Table) -> pa.Table:
     places = list(zip(side.column("doc").to_pylist(), side.column("line").to_pylist(), side.column("kept").to_pylist(), strict=True))
     gone = {(doc, line) for doc, line, _ in places} - {(doc, line) for doc, line, kept in places if kept}
@@ -520,23 +553,12 @@ def deduplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text")
         marked.groupBy("la", "lb")
         .agg(F.min(place).alias("place"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
     )
-    units = minhash.dealt(lines.select("la", "lb", "sim", "bands"), "bands", F.struct("la", "lb"), TILE)
-    close = cut(
-        units.select("unit", "la", "lb", "sim", "mine", "diagonal", F.expr("band & 1 = 1").alias("exact"))
-        .repartition("unit").sortWithinPartitions("unit")
-        .mapInArrow(_close_rows, "unit long, la long, lb long, sim long, mine int, diagonal boolean, exact boolean")
-    )
-    asked = lines.join(close.select("la", "lb").distinct(), ["la", "lb"], "left_semi")
-    asked = asked.select("la", "lb", "sim", "place.run", "place.doc", "place.line")
-    texts = cut(
-        runs.groupBy("run").cogroup(asked.groupBy("run")).applyInArrow(_texts, "la long, lb long, sim long, text string")
-    )
-    links = (
-        close.drop("sim").join(texts, ["la", "lb"])
-        .repartition("unit").sortWithinPartitions("unit", "la", "lb").select("unit", "la", "lb", "sim", "text", "mine", "diagonal", "exact")
-        .mapInArrow(_unit_links, "src struct<la:long,lb:long>, dst struct<la:long,lb:long>")
-    )
-    roots = components(links)
+    early = lambda key: F.pmod(F.shiftright(key, 1), F.lit(FIRST)) == 0
+    first = lines.withColumn("bands", F.filter("bands", early)).withColumn("class", F.col("la"))
+    roots = components(_links(runs, first))
+    others = _with_class(lines.withColumn("bands", F.filter("bands", lambda key: ~early(key))), roots)
+    stars = roots.select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    roots = components(stars.unionByName(_links(runs, others)))
     node = F.struct("la", "lb")
     grouped = lines.select(node.alias("own"), "place").join(roots, F.col("own") == F.col("node"), "left")
     first = grouped.groupBy(F.coalesce("root", "own").alias("group")).agg(F.min("place").alias("place"))
