@@ -3,8 +3,10 @@
 A k-mer of code points is an anchor if the smallest of its s-mers (by XXH64)
 stands at one of its edges. That depends on the k-mer alone, so equal passages
 have equal anchors wherever they stand, and the anchors of a text put together
-from parts are those of the parts and of the seams. The fingerprint is the
-sketch of the anchors with the smallest hashes, in text order.
+from parts are those of the parts and of the seams. The fingerprint is every
+anchor with its place. Two texts are matched by position: what they share are
+links, two neighbouring anchors at the same distance, so a shared passage is a
+chain of links at one shift.
 """
 
 from __future__ import annotations
@@ -17,14 +19,18 @@ from themeloom.llm.common import bound_to, text_or_empty
 from themeloom.plans.lineage import cut
 
 SMER = 4
-SPAN = 8  # s-mers in a k-mer; the sliding minimum takes three halving steps
+SPAN = 16  # s-mers in a k-mer; the sliding minimum takes four halving steps
 K = SMER + SPAN - 1
-SKETCH = 64
+LOW = 0xFFFFFFFF
 MOST_RANGES = 16_384
 
 
-def anchors(text: Column) -> Column:
-    """Hashes of all closed syncmers of ``text`` in order; none if it is shorter than ``K``."""
+def anchors(text: Column, before: Column | int = 0) -> Column:
+    """All closed syncmers of ``text`` in order; none if it is shorter than ``K``.
+
+    An anchor is a long: its place (plus ``before``) over 32 bits of the hash of
+    its k-mer. Of any ``SPAN - 1`` neighbouring k-mers one is an anchor.
+    """
     inner = F.transform(
         F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SMER}}}))"), F.lit(1)), lambda x: F.xxhash64(x)
     )
@@ -35,18 +41,25 @@ def anchors(text: Column) -> Column:
     def halved(a: Column, by: int) -> Column:
         return F.zip_with(a, later(a, by), lambda x, y: F.least(x, y))
 
+    def minimum(h: Column, by: int = 1) -> Column:
+        return halved(h, by) if 2 * by == SPAN else bound_to(halved(h, by), lambda a: minimum(a, 2 * by))
+
     def selected(h: Column, least: Column) -> Column:
         at = lambda i: F.get(h, i)
         places = F.filter(
             F.sequence(F.lit(0), F.size(h) - SPAN),
             lambda i: F.get(least, i) == F.least(at(i), at(i + SPAN - 1)),
         )
-        # Three s-mers together spell the k-mer.
-        return F.transform(places, lambda i: F.xxhash64(at(i), at(i + SMER), at(i + SPAN - 1)))
+        # Every fourth s-mer together spell the k-mer.
+        spelt = [*range(0, SPAN - 1, SMER), SPAN - 1]
+        offset = F.lit(before).cast("long") if isinstance(before, int) else before.cast("long")
+        return F.transform(
+            places,
+            lambda i: F.shiftleft(i + offset, 32).bitwiseOR(F.xxhash64(*[at(i + s) for s in spelt]).bitwiseAND(F.lit(LOW))),
+        )
 
     def of(h: Column) -> Column:
-        least = bound_to(halved(h, 1), lambda a: bound_to(halved(a, 2), lambda b: halved(b, 4)))
-        return F.when(F.size(h) >= SPAN, bound_to(least, lambda m: selected(h, m))).otherwise(no_anchors())
+        return F.when(F.size(h) >= SPAN, bound_to(minimum(h), lambda m: selected(h, m))).otherwise(no_anchors())
 
     return bound_to(inner, of)
 
@@ -55,41 +68,69 @@ def no_anchors() -> Column:
     return F.array().cast("array<bigint>")
 
 
-def sketch(hashes: Column, whole: Column, size: int = SKETCH) -> Column:
-    """The ``size`` smallest distinct anchors, first occurrences in text order.
+def fingerprint(marks: Column, whole: Column) -> Column:
+    """The anchors ``marks``; a text too short for any is its own anchor at place 0, the empty text has none."""
+    own = F.when(whole == "", no_anchors()).otherwise(F.array(F.xxhash64(whole).bitwiseAND(F.lit(LOW))))
+    return bound_to(marks, lambda m: F.when(F.size(m) > 0, m).otherwise(own))
 
-    A text too short for anchors is its own anchor (``whole``); the empty text has none.
-    """
-    own = F.when(whole == "", no_anchors()).otherwise(F.array(F.xxhash64(whole)))
 
-    def smallest(a: Column) -> Column:
-        most = F.get(F.sort_array(a), F.least(F.lit(size), F.size(a)) - 1)
-        kept = bound_to(most, lambda m: F.filter(a, lambda x: x <= m))
-        return F.when(F.size(a) > 0, kept).otherwise(own)
+def _from_last(marks: Column, i: Column) -> Column:
+    """Anchor ``i`` with the distance from the anchor before in place of its place."""
+    before = F.shiftright(F.get(marks, i - 1), 32)
+    return F.get(marks, i) - F.when(i > 0, F.shiftleft(before, 32)).otherwise(F.lit(0))
 
-    return bound_to(F.array_distinct(hashes), smallest)
 
+def links(marks: Column) -> Column:
+    """Hashes (even) of neighbouring anchors and their distance; of a lone anchor the anchor's."""
+
+    def of(m: Column) -> Column:
+        link = lambda i: F.xxhash64(F.get(m, i - 1).bitwiseAND(F.lit(LOW)), _from_last(m, i))
+        several = F.transform(F.sequence(F.lit(1), F.size(m) - 1), lambda i: link(i).bitwiseAND(F.lit(-2)))
+        lone = F.transform(m, lambda x: F.xxhash64(x.bitwiseAND(F.lit(LOW))).bitwiseAND(F.lit(-2)))
+        return F.when(F.size(m) > 1, several).otherwise(lone)
+
+    return bound_to(marks, of)
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Jaccard likeness of the anchor sets, from the smallest of both; 1 for two empty texts."""
-    smallest = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    return bound_to(
-        smallest,
-        lambda u: F.when(F.size(u) == 0, F.lit(1.0)).otherwise(
-            F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u)
-        ),
-    )
 
+def likeness(a: Column, b: Column) -> Column:
+    """Links that both have, each as often as in both, of those that either has; 1 for two empty texts.
+
+    Sorted together, the copies of a link stand side by side, those of ``b`` (made
+    odd) last: each of them takes one of ``a`` that is left over.
+    """
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(1)))))
+    state = lambda link, left, met: F.struct(link.alias("link"), left.alias("left"), met.alias("met"))
+
+    def step(s: Column, x: Column) -> Column:
+        link = x.bitwiseAND(F.lit(-2))
+        left = F.when(s["link"] == link, s["left"]).otherwise(F.lit(0))
+        own = x == link
+        return state(
+            link,
+            F.when(own, left + 1).otherwise(F.greatest(left - 1, F.lit(0))),
+            s["met"] + F.when(own | (left == 0), F.lit(0)).otherwise(F.lit(1)),
+        )
+
+    met = F.aggregate(both, state(F.lit(1).cast("long"), F.lit(0), F.lit(0)), step, lambda s: s["met"])
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(bound_to(met, lambda m: m / (total - m)))
 
-def shown(anchor_sketch: Column) -> Column:
-    """The sketch as text: 16 hex digits an anchor."""
-    return F.array_join(F.transform(anchor_sketch, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+
+def shown(marks: Column) -> Column:
+    """The fingerprint as text: of each anchor a hex digit, the distance from the last, and eight of its hash."""
+
+    def of(m: Column) -> Column:
+        anchor = lambda i: F.lower(F.lpad(F.hex(_from_last(m, i)), 9, "0"))
+        some = F.array_join(F.transform(F.sequence(F.lit(0), F.size(m) - 1), anchor), "")
+        return F.when(F.size(m) > 0, some).otherwise(F.lit(""))
+
+    return bound_to(marks, of)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, sketch)`` per row; null text counts as empty."""
+    """``(key, anchors)`` per row; null text counts as empty."""
     whole = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("whole"))
-    return whole.select(F.col("k").alias(key), sketch(anchors(F.col("whole")), F.col("whole")).alias("sketch"))
+    return whole.select(F.col("k").alias(key), fingerprint(anchors(F.col("whole")), F.col("whole")).alias("anchors"))
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -144,8 +185,9 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     must be whole numbers; other columns are not looked at.
 
     Texts move once. An edited text's anchors are those of its unchanged part
-    (made already) and of the seam and the new end. A text must fit in a task
-    with its s-mers (about 60 bytes a character).
+    (made already) and of the seam and the new end. A fingerprint has all its
+    anchors, about one of eight characters. A text must fit in a task with its
+    s-mers (about 60 bytes a character).
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(docs, key, text).repartition(parts, "range")
@@ -157,27 +199,26 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = rows.select(
         "*",
         anchors(first).alias("kept_anchors"),
-        anchors(F.substring(whole, rest_from, size)).alias("rest_anchors"),
+        anchors(F.substring(whole, rest_from, size), rest_from - 1).alias("rest_anchors"),
     )
     rows = rows.select(
         "k", "range", "guest", "whole", "n_chars", "keep", "kept_anchors",
-        sketch(F.concat("kept_anchors", "rest_anchors"), whole).alias("sketch"),
-    )
+        fingerprint(F.concat("kept_anchors", "rest_anchors"), whole).alias("anchors"),
+    ).withColumn("links", links(F.col("anchors")))
     order = W.partitionBy("range").orderBy("guest", F.desc_nulls_last("k"), F.xxhash64("whole"))
-    rows = rows.withColumn("following", F.lead(F.struct("whole", "sketch")).over(order)).where(~F.col("guest"))
+    rows = rows.withColumn("following", F.lead(F.struct("whole", "links")).over(order)).where(~F.col("guest"))
     head = F.substring(F.col("following.whole"), F.lit(1), (F.col("n_chars") - keep).cast("int"))
     rows = rows.select(
         "*", F.concat(first, head).alias("edited"), F.concat(F.substring(whole, rest_from, keep - rest_from + 1), head).alias("seam")
     )
-    rows = rows.withColumn(
-        "edited_sketch", sketch(F.concat("kept_anchors", anchors(F.col("seam"))), F.col("edited"))
-    )
+    new_end = anchors(F.col("seam"), rest_from - 1)
+    rows = rows.withColumn("edited_anchors", fingerprint(F.concat("kept_anchors", new_end), F.col("edited")))
     return rows.select(
         F.col("k").alias(key),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("sketch")).alias("fingerprint"),
-        shown(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("following.sketch")).alias("near_next"),
+        shown(F.col("anchors")).alias("fingerprint"),
+        shown(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("links"), links(F.col("edited_anchors"))).alias("near_edited"),
+        likeness(F.col("links"), F.col("following.links")).alias("near_next"),
     )
