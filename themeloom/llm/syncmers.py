@@ -19,7 +19,7 @@ from themeloom.llm.common import bound_to, text_or_empty
 from themeloom.plans.lineage import cut
 
 SMER = 4
-SPAN = 16  # s-mers in a k-mer; the sliding minimum takes four halving steps
+SPAN = 16  # s-mers in a k-mer; the sliding minimum takes two steps of four
 K = SMER + SPAN - 1
 LOW = 0xFFFFFFFF
 MOST_RANGES = 16_384
@@ -35,14 +35,11 @@ def anchors(text: Column, before: Column | int = 0) -> Column:
         F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{SMER}}}))"), F.lit(1)), lambda x: F.xxhash64(x)
     )
 
-    def later(a: Column, by: int) -> Column:
-        return F.slice(a, by + 1, F.greatest(F.size(a) - by, F.lit(0)))
+    def least_of_four(a: Column, by: int) -> Column:
+        return F.transform(a, lambda x, i: F.least(x, *[F.get(a, i + n * by) for n in (1, 2, 3)]))
 
-    def halved(a: Column, by: int) -> Column:
-        return F.zip_with(a, later(a, by), lambda x, y: F.least(x, y))
-
-    def minimum(h: Column, by: int = 1) -> Column:
-        return halved(h, by) if 2 * by == SPAN else bound_to(halved(h, by), lambda a: minimum(a, 2 * by))
+    def minimum(h: Column) -> Column:
+        return bound_to(least_of_four(h, 1), lambda a: least_of_four(a, 4))
 
     def selected(h: Column, least: Column) -> Column:
         at = lambda i: F.get(h, i)
@@ -95,8 +92,9 @@ def links(marks: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Links that both have, each as often as in both, of those that either has; 1 for two empty texts.
 
-    Sorted together, the copies of a link stand side by side, those of ``b`` (made
-    odd) last: each of them takes one of ``a`` that is left over.
+    If one side repeats no link, those are the links in common. Else, sorted
+    together, the copies of a link stand side by side, those of ``b`` (made odd)
+    last: each of them takes one of ``a`` that is left over.
     """
     both = F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(1)))))
     state = lambda link, left, met: F.struct(link.alias("link"), left.alias("left"), met.alias("met"))
@@ -111,7 +109,9 @@ def likeness(a: Column, b: Column) -> Column:
             s["met"] + F.when(own | (left == 0), F.lit(0)).otherwise(F.lit(1)),
         )
 
-    met = F.aggregate(both, state(F.lit(1).cast("long"), F.lit(0), F.lit(0)), step, lambda s: s["met"])
+    counted = F.aggregate(both, state(F.lit(1).cast("long"), F.lit(0), F.lit(0)), step, lambda s: s["met"])
+    single = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    met = F.when(single(a) | single(b), F.size(F.array_intersect(a, b))).otherwise(counted)
     total = F.size(a) + F.size(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(bound_to(met, lambda m: m / (total - m)))
 
@@ -120,8 +120,8 @@ def shown(marks: Column) -> Column:
     """The fingerprint as text: of each anchor a hex digit, the distance from the last, and eight of its hash."""
 
     def of(m: Column) -> Column:
-        anchor = lambda i: F.lower(F.lpad(F.hex(_from_last(m, i)), 9, "0"))
-        some = F.array_join(F.transform(F.sequence(F.lit(0), F.size(m) - 1), anchor), "")
+        anchor = lambda x, i: F.lpad(F.hex(_from_last(m, i)), 9, "0")
+        some = F.lower(F.array_join(F.transform(m, anchor), ""))
         return F.when(F.size(m) > 0, some).otherwise(F.lit(""))
 
     return bound_to(marks, of)
