@@ -18,21 +18,24 @@ def clean_and_filter(docs: DataFrame, key: str, text: str, min_length: int = 50)
 
 
 def clean_stream(spark: SparkSession, folder: str, table: str, key: str, text: str) -> DataFrame:
-    """Run a table's files through a stream once, to the end, and read the result."""
+    """Run a table's files through a stream once, to the end, and read the result.
+
+    The table is one file or a folder of files. A stream does not start from a
+    file's own path; a pattern that only the table matches stands for either.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     source = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}.parquet")
-        .parquet(folder)
+        .parquet(f"{folder}/{table}.parque[t]")
         .repartition(spark.sparkContext.defaultParallelism)
     )
     out = scratch_path(spark, "stream")
+    cleaned = clean_and_filter(source, key, text)
     running = (
-        clean_and_filter(source, key, text)
-        .writeStream.format("parquet")
+        cleaned.writeStream.format("parquet")
         .option("checkpointLocation", f"{out}/state")
         .trigger(availableNow=True)
         .start(f"{out}/rows")
     )
     running.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.schema(cleaned.schema).parquet(f"{out}/rows")
