@@ -111,3 +111,13 @@ def test_trusted(spark):
     found = language.identify(docs.unionByName(extra)).select("doc_id", "text", "_language.p.trusted").collect()
     assert not any(r.trusted for r in found if r.doc_id >= 10_000_000)
     assert all(r.trusted for r in found if r.doc_id < 10_000_000)
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """One row of thousands in its language has words of its own; the row counts, whatever its key."""
+    rows = [(i, "the cat sat on the mat", "en") for i in range(6000)] + [(i, "der hund und die katze", "de") for i in range(6000, 6500)]
+    for key in (7001, 7002, 7003, 7004):
+        docs = spark.createDataFrame([*rows, (key, "zyxwvut", "en")], DOCS)
+        model = language.fit(docs, "doc_id", "text", "lang", language.LanguageOptions())
+        codes = language.gram_codes("zyxwvut")
+        assert model.hits(codes)[model.languages.index("en")].all()

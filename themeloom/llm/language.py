@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from themeloom.functions.hashing import seeded_hash, unit_interval
 from themeloom.plans.lineage import cut
 
 GRAM = 4
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 BITS = 7  # languages per row of slots
+COUNTED_AT_ONCE = 2_000_000  # n-grams a task holds before it counts them
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)  # odd, one per slot
 
 
@@ -30,22 +30,19 @@ MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)  # odd,
 class LanguageOptions:
     """Bounds of the classifier; nothing else limits what is read.
 
-    It is fitted on about ``sample_docs`` labelled rows of each language (whole
-    texts, chosen by a hash of the id), keeps the ``grams`` most frequent n-grams
-    of each, and a language holds an n-gram only if its rate is at least
-    ``shared`` of the highest rate of any language. ``slot_bits`` fixes the size
-    of the filter.
+    It is fitted on the whole texts of all labelled rows, keeps the ``grams`` most
+    frequent n-grams of each language, and a language holds an n-gram only if its
+    rate is at least ``shared`` of the highest rate of any language.
+    ``slot_bits`` fixes the size of the filter.
 
     A text is trusted to be in a learnt language if the share of its n-grams that
     its language holds is at least ``slack`` of the share that all but a
-    thousandth of the sample reach.
+    thousandth of the labelled rows reach.
     """
 
-    sample_docs: int = 4000
     grams: int = 30_000
     shared: float = 0.25
     slot_bits: int = 20
-    seed: int = 5
     slack: float = 0.5
 
 
@@ -101,31 +98,38 @@ def slots(codes: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 def fit(docs: DataFrame, key: str, text: str, lang: str, options: LanguageOptions) -> LanguageModel:
     """The model of the labelled rows of ``docs``; rows without text or language teach nothing."""
-    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
+    labelled = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where(
         "t is not null and l is not null"
     )
     counts = cut(labelled.groupBy("l").agg(F.count(F.lit(1)).alias("rows")))
-    place = unit_interval(seeded_hash(F.coalesce(F.col("k").cast("string"), F.lit("")), options.seed))
-    sample = labelled.join(counts, "l").where(place * F.col("rows") < options.sample_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = np.array(batch.column(0).to_pylist(), object)
-            for label in sorted(set(labels)):
-                seen: dict = {}
-                for at in np.flatnonzero(labels == label):
-                    codes, n = np.unique(gram_codes(batch.column(1)[int(at)].as_py()), return_counts=True)
-                    for c, x in zip(codes.tolist(), n.tolist(), strict=True):
-                        seen[c] = seen.get(c, 0) + x
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([label] * len(seen)), pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())],
-                    ["l", "gram", "n"],
-                )
-
-    grams = (
-        sample.select("l", "t").mapInArrow(run, "l string, gram long, n long")
+            waiting: dict[str, list[np.ndarray]] = {}
+            held = 0
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = gram_codes(text.as_py())
+                waiting.setdefault(label, []).append(codes)
+                held += len(codes)
+                if held >= COUNTED_AT_ONCE:
+                    yield from counted(waiting)
+                    waiting, held = {}, 0
+            yield from counted(waiting)
+
+    def counted(waiting: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for label, codes in waiting.items():
+            seen, n = np.unique(np.concatenate(codes), return_counts=True)
+            columns = [pa.array([label] * len(seen)), pa.array(seen.astype(np.int64)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["l", "gram", "n"])
+
+    found = cut(
+        labelled.select("l", "t").mapInArrow(run, "l string, gram long, n long")
         .groupBy("l", "gram").agg(F.sum("n").alias("n"))
-        .withColumn("rate", F.col("n") / F.sum("n").over(W.partitionBy("l")))
+    )
+    totals = found.groupBy("l").agg(F.sum("n").alias("total"))  # a row per language
+    grams = (
+        found.join(F.broadcast(totals), "l")
+        .withColumn("rate", F.col("n") / F.col("total"))
         .withColumn("highest", F.max("rate").over(W.partitionBy("gram")))
         .where(F.col("rate") >= options.shared * F.col("highest"))
         .withColumn("rank", F.row_number().over(W.partitionBy("l").orderBy(F.desc("n"), "gram")))
@@ -144,8 +148,8 @@ def fit(docs: DataFrame, key: str, text: str, lang: str, options: LanguageOption
         noise[number] = (np.count_nonzero(row & bit) / len(row)) ** len(MULTIPLIERS)
     fallback = max(range(len(languages)), key=lambda i: known[languages[i]], default=0)
     model = LanguageModel(languages, masks, noise, fallback)
-    shares = sample.where(F.col("t").rlike(LETTER)).select(predicted(docs.sparkSession, model, "t")["known"].alias("known"))
-    usual = shares.agg(F.percentile_approx("known", 0.001, 10_000)).first()[0] or 0.0
+    shares = labelled.where(F.col("t").rlike(LETTER)).select(predicted(docs.sparkSession, model, "t")["known"].alias("known"))
+    usual = shares.agg(F.percentile_approx("known", 0.001, 100_000)).first()[0] or 0.0
     return replace(model, least_known=options.slack * usual)
 
 
