@@ -141,3 +141,17 @@ def test_tree_without_far_pairs_of_blocks(spark):
     assert density._bridgeable(members, 0.2).count() < density._bridgeable(members).count()
     tree = density.spanning_tree(df, "id", "v", 3, block_rows=8)
     assert {(r["src"], r["dst"], round(r["w"], 9)) for r in tree.collect()} == tree_of(line, 3)
+
+
+def test_nearest_of_many_blocks_are_held_one_list_at_a_time():
+    """Blocks met one after another leave what all of them at once would."""
+    rng = np.random.default_rng(9)
+    points = rng.integers(0, 4, (70, 3)).astype(float)  # many ties
+    ids = rng.permutation(70)
+    whole = neighbours.nearest_in(ids, points, ids, points, 5)
+    held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    for start in range(0, 70, 9):
+        part = slice(start, start + 9)
+        held = neighbours.nearer_of(held, neighbours.nearest_in(ids, points, ids[part], points[part], 5), 5)
+        assert np.bincount(held[0]).max() <= 5
+    assert all((a == b).all() for a, b in zip(whole, held, strict=True))
