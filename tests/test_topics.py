@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +90,30 @@ def test_model_from_given_vectors(spark):
     assert {t for t in info if t >= 0} == {0, 1, 2}
     top = fitted.assignments.where("topic >= 0 and assigned_probability = topic_probability")
     assert top.count() == 90
+
+
+def test_terms_are_counted_in_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(vocabulary, "TOKENS_AT_ONCE", 7)
+    rows = [(1, "a b a b", 0), (2, None, 0), (3, "", None), (4, "b a " * 9, None), (None, "c", 1), (4, "b", 0)]
+    texts = docs(spark, rows).coalesce(1)
+    options = VocabularyOptions(ngram_max=3, min_df=1, max_df=1.0, stop_words=())
+
+    def plain(text):
+        words = (text or "").split()
+        return Counter(" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+
+    found = vocabulary.term_counts(texts, "id", "text", options)
+    assert Counter(map(tuple, found.collect())) == Counter(
+        (key, term, tf) for key, text, _ in rows for term, tf in plain(text).items()
+    )
+    tf, df = sum((plain(r[1]) for r in rows), Counter()), Counter(t for r in rows for t in plain(r[1]))
+    frequencies = vocabulary.term_frequencies(texts, "text", options)
+    assert {tuple(r) for r in frequencies.collect()} == {(t, tf[t], df[t]) for t in tf}
+    grouped = topics.topic_term_counts(texts, "text", options)
+    by_topic = Counter()
+    for _, text, topic in rows:
+        by_topic.update({(topic, t): n for t, n in plain(text).items()})
+    assert {tuple(r) for r in grouped.collect()} == {(*pair, n) for pair, n in by_topic.items()}
+    # No row per occurrence is made to be counted.
+    for table in (found, frequencies, grouped):
+        assert "Generate" not in table._jdf.queryExecution().toString()
