@@ -128,3 +128,13 @@ def test_order_and_repeats_count(table):
 def test_native_plan(spark, name):
     plan = getattr(syncmers, name)(spark.createDataFrame([(1, "a")], DOCS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_an_edited_text_reuses_the_anchors_of_both_texts(table):
+    rng = random.Random(8)
+    rows = [(n, letters(rng, n)) for n in range(1, 120)]
+    found = syncmers.edited_fingerprints(table(rows, DOCS))
+    assert sorted(map(tuple, found.collect()), key=str) == expected(rows)
+    # Pieces of four characters are cut from whole texts and from seams of at most 2 * (K - 1) only.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2

@@ -61,6 +61,11 @@ def anchors(text: Column, before: Column | int = 0) -> Column:
     return bound_to(inner, of)
 
 
+def within(marks: Column, size: Column) -> Column:
+    """The anchors ``marks`` that lie in the first ``size`` characters."""
+    return bound_to(F.shiftleft((size - (K - 1)).cast("long"), 32), lambda end: F.filter(marks, lambda x: x < end))
+
+
 def no_anchors() -> Column:
     return F.array().cast("array<bigint>")
 
@@ -184,9 +189,9 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     single document is its own next; an empty table gives an empty result. Keys
     must be whole numbers; other columns are not looked at.
 
-    Texts move once. An edited text's anchors are those of its unchanged part
-    (made already) and of the seam and the new end. A fingerprint has all its
-    anchors, about one of eight characters. A text must fit in a task with its
+    Texts move once. An edited text's anchors are those of its unchanged part,
+    of the seam and of the new end; only those of the seam are not made already.
+    A fingerprint has all its anchors, about one of eight characters. A text must fit in a task with its
     s-mers (about 60 bytes a character).
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -194,25 +199,22 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     size = F.length("whole")
     rows = rows.withColumn("n_chars", size.cast("long")).withColumn("keep", size - F.floor(size / 3).cast("int"))
     whole, keep = F.col("whole"), F.col("keep")
-    first = F.substring(whole, F.lit(1), keep)
-    rest_from = F.greatest(keep - (K - 2), F.lit(1))
-    rows = rows.select(
-        "*",
-        anchors(first).alias("kept_anchors"),
-        anchors(F.substring(whole, rest_from, size), rest_from - 1).alias("rest_anchors"),
-    )
-    rows = rows.select(
-        "k", "range", "guest", "whole", "n_chars", "keep", "kept_anchors",
-        fingerprint(F.concat("kept_anchors", "rest_anchors"), whole).alias("anchors"),
-    ).withColumn("links", links(F.col("anchors")))
+    rows = rows.withColumn("marks", anchors(whole))
+    rows = rows.withColumn("links", links(fingerprint(F.col("marks"), whole)))
     order = W.partitionBy("range").orderBy("guest", F.desc_nulls_last("k"), F.xxhash64("whole"))
-    rows = rows.withColumn("following", F.lead(F.struct("whole", "links")).over(order)).where(~F.col("guest"))
+    following = F.lead(F.struct("whole", "marks", "links")).over(order)
+    rows = rows.withColumn("following", following).where(~F.col("guest"))
+    first = F.substring(whole, F.lit(1), keep)
     head = F.substring(F.col("following.whole"), F.lit(1), (F.col("n_chars") - keep).cast("int"))
-    rows = rows.select(
-        "*", F.concat(first, head).alias("edited"), F.concat(F.substring(whole, rest_from, keep - rest_from + 1), head).alias("seam")
-    )
-    new_end = anchors(F.col("seam"), rest_from - 1)
-    rows = rows.withColumn("edited_anchors", fingerprint(F.concat("kept_anchors", new_end), F.col("edited")))
+    rows = rows.select("*", head.alias("head")).select("*", F.concat(first, F.col("head")).alias("edited"))
+    # A k-mer over the seam has fewer than K characters of either side.
+    seam_from = F.greatest(keep - (K - 2), F.lit(1))
+    seam = F.concat(F.substring(whole, seam_from, keep - seam_from + 1), F.substring("head", 1, K - 1))
+    of_head = within(F.col("following.marks"), F.length("head"))
+    moved = bound_to(F.shiftleft(keep.cast("long"), 32), lambda by: F.transform(of_head, lambda x: x + by))
+    made = F.concat(within(F.col("marks"), keep), anchors(seam, seam_from - 1), moved)
+    rows = rows.withColumn("anchors", fingerprint(F.col("marks"), whole))
+    rows = rows.withColumn("edited_anchors", fingerprint(made, F.col("edited")))
     return rows.select(
         F.col("k").alias(key),
         "n_chars",
