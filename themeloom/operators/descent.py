@@ -95,12 +95,18 @@ def _started(reps: DataFrame, n: int, k: int, size: int) -> DataFrame:
 
 
 def _around(lists: DataFrame, k: int) -> DataFrame:
-    """``(mid, other, fresh)``: the neighbours of each row, and the ``k`` nearest of those it is a neighbour of."""
+    """``(mid, other, fresh)``: the neighbours of each row, and the ``k`` nearest of those it is a neighbour of.
+
+    Rows without a fresh link among these have no pair to look at and are left out.
+    """
     forward = lists.select(F.col("src").alias("mid"), F.col("dst").alias("other"), "fresh")
     order = Window.partitionBy("dst").orderBy("dist", "src")
     nearest = lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     backward = nearest.select(F.col("dst").alias("mid"), F.col("src").alias("other"), "fresh")
-    return forward.unionByName(backward).groupBy("mid", "other").agg(F.max("fresh").alias("fresh"))
+    links = forward.unionByName(backward).repartition("mid")  # serves the grouping and the window
+    once = links.groupBy("mid", "other").agg(F.max("fresh").alias("fresh"))
+    moved = once.withColumn("_any", F.max("fresh").over(Window.partitionBy("mid")))
+    return moved.where("_any").drop("_any")
 
 
 def _compared(around: DataFrame, rows: DataFrame) -> DataFrame:
