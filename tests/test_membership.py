@@ -6,6 +6,7 @@ from test_hierarchy import plain_choice, plain_tree
 from test_neighbours import table, tree_of
 
 from themeloom.operators import density, membership
+from themeloom.operators.hierarchy import Hierarchy
 from themeloom.options import ClusterOptions
 
 
@@ -74,3 +75,25 @@ def test_no_groups(spark):
     found, chosen = density.hierarchy_of(rows, "id", "v", ClusterOptions(min_samples=2, min_cluster_size=2, epsilon=0.0))
     assert chosen.count() == 0
     assert membership.membership_vectors(rows, "id", "v", found, chosen).count() == 0
+
+
+def test_deep_tree_in_one_task_and_by_paths(spark):
+    # A chain of splits 40 deep with a leaf beside each, and a tree of its own.
+    rows = [((i, 500 - i), (i - 1, 501 - i) if i else None, 50.0 - i) for i in range(40)]
+    rows += [((100 + i, 5), (i, 500 - i), None) for i in range(40)] + [((900, 7), None, None)]
+    kind = "cluster struct<rep:long,size:long>, parent struct<rep:long,size:long>, split double"
+    found = Hierarchy(spark.createDataFrame(rows, kind), None, 0.5)
+    chosen = [((39, 461), 0), ((107, 5), 1), ((20, 480), 2), ((900, 7), 3)]
+    numbered = spark.createDataFrame(chosen, "label struct<rep:long,size:long>, topic int")
+    got = [
+        {(tuple(r.cluster), r.topic): r.joint for r in membership.joint_densities(found, numbered, *units).collect()}
+        for units in ((1000, 10_000), (1000, 81), (10, 81))
+    ]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 81 * 4
+    assert got[0][(107, 5), 0] == 1 / 43 and got[0][(130, 5), 2] == membership.INSIDE == got[0][(3, 497), 1]
+    assert got[0][(900, 7), 0] == 0.0 and got[0][(900, 7), 3] == membership.INSIDE
+
+
+def test_parting_densities_walk_no_paths_between_tables(spark, monkeypatch):
+    monkeypatch.setattr(membership, "cluster_paths", lambda clusters: pytest.fail("paths of all clusters"))
+    test_no_groups(spark)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from themeloom.functions import vectors as V
 from themeloom.operators.density import group_numbers
-from themeloom.operators.hierarchy import Hierarchy, density_of
+from themeloom.operators.hierarchy import UNIT_CLUSTERS, Hierarchy, density_of
 from themeloom.operators.neighbours import (
     CHUNK_BLOCKS,
     DECIMALS,
@@ -42,6 +42,7 @@ from themeloom.plans.unnest import unnest
 INSIDE = -1.0  # the row's own density counts
 NEAREST = 1e-9  # a row that is an exemplar is put so far away
 _SLACK = 1e-6
+UNIT_PAIRS = 2_000_000  # of a cluster and a topic, whose joint densities a task gives
 
 
 def cluster_paths(clusters: DataFrame) -> DataFrame:
@@ -56,8 +57,70 @@ def cluster_paths(clusters: DataFrame) -> DataFrame:
     return paths.select("cluster", "path")
 
 
-def joint_densities(found: Hierarchy, numbered: DataFrame) -> DataFrame:
-    """``(cluster, topic, joint)``: the density at which a cluster and a chosen one part, or INSIDE."""
+def joint_densities(found: Hierarchy, numbered: DataFrame, unit_clusters: int = UNIT_CLUSTERS, unit_pairs: int = UNIT_PAIRS) -> DataFrame:
+    """``(cluster, topic, joint)``: the density at which a cluster and a chosen one part, or INSIDE.
+
+    They part at the nearest cluster that is above both, or one of the two. It is
+    found by doubling steps up the tree in a task that holds the tree and gets
+    some of the topics, so many that it gives ``unit_pairs`` rows. A tree of more than
+    ``unit_clusters`` clusters is too large for a task: there whole paths are compared.
+    """
+    n, n_topics = found.clusters.count(), numbered.count()
+    if n > unit_clusters:
+        return _joint_of_paths(found, numbered)
+    chunks = max(1, -(-n * n_topics // unit_pairs))
+    tree = found.clusters.join(numbered.withColumnRenamed("label", "cluster"), "cluster", "left").select(
+        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+        "cluster.rep", "cluster.size",
+        F.coalesce("parent.rep", F.lit(0)).alias("up_rep"), F.coalesce("parent.size", F.lit(0)).alias("up_size"),
+        F.coalesce("split", F.lit(-1.0)).alias("split"), F.coalesce("topic", F.lit(-1)).alias("topic"),
+    )
+    floor = found.floor
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mine = frame["chunk"].iloc[0]
+        topics = frame["topic"].to_numpy()
+        density = 1.0 / np.maximum(frame["split"].to_numpy(), floor)
+        labels = np.flatnonzero((topics >= 0) & (topics % chunks == mine))
+        joint = parting_densities(_parents(frame), density, labels)
+        whole = {c: np.tile(frame[c].to_numpy(), len(labels)) for c in ("rep", "size")}
+        return pd.DataFrame({**whole, "topic": np.repeat(topics[labels], len(frame)), "joint": joint.ravel()})
+
+    joint = tree.groupBy("chunk").applyInPandas(run, "rep long, size long, topic int, joint double")
+    return joint.select(F.struct("rep", "size").alias("cluster"), "topic", "joint")
+
+
+def _parents(frame: pd.DataFrame) -> np.ndarray:
+    """The place of each cluster's parent; of a root one after the last."""
+    own = frame[["rep", "size"]].assign(at=np.arange(len(frame)))
+    above = frame[["up_rep", "up_size"]].merge(own, how="left", left_on=["up_rep", "up_size"], right_on=["rep", "size"])
+    return above["at"].fillna(len(frame)).to_numpy().astype(np.int64)
+
+
+def parting_densities(parents: np.ndarray, density: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each of ``labels`` a row: the density of the split at which every cluster parts from it, 0 in another tree."""
+    n = len(parents)
+    upward, own = np.append(parents, n), np.arange(n + 1)
+    below = np.append(density, 0.0)
+    joint = np.empty((len(labels), n))
+    for row, label in zip(joint, labels.tolist(), strict=True):
+        path, at = [], label
+        while at < n:
+            path.append(at)
+            at = parents[at]
+        nearest = upward.copy()  # the nearest cluster of the path, as far up as was looked
+        nearest[path] = path
+        while True:
+            further = nearest[nearest]
+            if np.array_equal(further, nearest):
+                break
+            nearest = further
+        inside = (nearest == label) | (nearest == own)
+        row[:] = np.where(inside[:n], INSIDE, below[nearest[:n]])
+    return joint
+
+
+def _joint_of_paths(found: Hierarchy, numbered: DataFrame) -> DataFrame:
     paths = cut(cluster_paths(found.clusters).select("cluster", "path", F.transform("path", lambda e: e["cluster"]).alias("names")))
     labels = paths.select(F.col("cluster").alias("label"), F.col("names").alias("centroid"))
     targets = cut(labels.join(numbered, "label").select("topic", "centroid"))
